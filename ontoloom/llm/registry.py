@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+from ontoloom.llm.minhash import op9_minhash_near_dedup
+from ontoloom.llm.packing import op7_best_fit_packing
 from ontoloom.llm.quality import op6_quality_rules
+from ontoloom.llm.sharding import op4_sampled_splitters
+from ontoloom.llm.token_file import op10_token_orc
 
 QUERIES = {
+    "op4_sampled_splitters": op4_sampled_splitters,
     "op6_quality_rules": op6_quality_rules,
+    "op7_best_fit_packing": op7_best_fit_packing,
+    "op9_minhash_near_dedup": op9_minhash_near_dedup,
+    "op10_token_orc": op10_token_orc,
 }
 SQL: dict[str, str] = {}
