@@ -12,7 +12,7 @@ confirmed on the full sets.
 Groups of near copies are never expanded into all pairs.  First every
 representative is checked against the likeliest of its bands' hubs (the
 smallest member and some drawn ones), which merges most of a group; then pairs are made only between members of a
-band that are still in different groups.  Components join the confirmed links.
+band that are still in different groups, after a wider sketch has ruled out more.  Components join the confirmed links.
 
 Null or empty texts have an empty set and are linked with nothing.  A text with
 fewer words than a shingle has its whole sequence as the one shingle.  Rows
@@ -39,12 +39,16 @@ WORD_CACHE = 300_000
 #: Besides a band's smallest member so many drawn ones serve as hubs; a representative is checked against its TRIES likeliest hubs.
 HUBS, TRIES = 2, 3
 
+#: A wider sketch for representatives whose bands still join different groups.
+WIDE, WIDE_BITS, WIDE_MARGIN = 2048, 2, 0.048
+
 _rng = np.random.default_rng(20240601)
 _MUL = (_rng.integers(0, 2**32, LANES, dtype=np.uint64).astype(np.uint32) | np.uint32(1))[:, None]
 _ADD = _rng.integers(0, 2**32, LANES, dtype=np.uint64).astype(np.uint32)[:, None]
+_WIDE_MUL = (_rng.integers(0, 2**32, WIDE, dtype=np.uint64).astype(np.uint32) | np.uint32(1))[:, None]
+_WIDE_ADD = _rng.integers(0, 2**32, WIDE, dtype=np.uint64).astype(np.uint32)[:, None]
 _P = np.uint64(0x9E3779B97F4A7C15)
 _Q = np.uint64(0xD6E8FEB86659FD93)
-_LANE = np.uint64(1) << np.arange(LANES_IN_LONG, dtype=np.uint64)
 FEATURES = "struct<n_shingles:long,set_key:binary,bands:array<long>,planes:array<long>>"
 
 
@@ -89,25 +93,31 @@ def shingle_hashes(words: list[bytes], k: int) -> np.ndarray:
     return np.unique(out)
 
 
-def minima(hashes: np.ndarray) -> np.ndarray:
-    low = np.full(LANES, 0xFFFFFFFF, dtype=np.uint32)
+def minima(hashes: np.ndarray, mul: np.ndarray = _MUL, add: np.ndarray = _ADD) -> np.ndarray:
+    low = np.full(len(mul), 0xFFFFFFFF, dtype=np.uint32)
     x = (hashes >> np.uint64(20)).astype(np.uint32)
     for i in range(0, len(x), 2048):
-        np.minimum(low, (x[None, i : i + 2048] * _MUL + _ADD).min(axis=1), out=low)
+        np.minimum(low, (x[None, i : i + 2048] * mul + add).min(axis=1), out=low)
     return low
 
 
+def packed(low: np.ndarray, bits: int, in_long: int) -> np.ndarray:
+    """Planes: for each kept bit, the lanes' bits packed into longs."""
+    kept = low >> np.uint32(4)  # the lowest bits of a product depend on few bits of its factor
+    lane = np.uint64(1) << np.arange(in_long, dtype=np.uint64)
+    planes = [(((kept >> np.uint32(b)) & np.uint32(1)).astype(np.uint64).reshape(-1, in_long) * lane).sum(axis=1) for b in range(bits)]
+    return np.concatenate(planes).view(np.int64)
+
+
 def signature(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Band keys, and the planes: for each kept bit, the lanes' bits packed into longs."""
+    """Band keys and packed low bits."""
     low = minima(hashes)
     rows = low.reshape(BANDS, ROWS).astype(np.uint64)
     key = np.arange(1, BANDS + 1, dtype=np.uint64) * _Q
     for i in range(ROWS):
         key = (key ^ rows[:, i]) * _P
         key ^= key >> np.uint64(31)
-    kept = low >> np.uint32(4)  # the lowest bits of a product depend on few bits of its factor
-    planes = [(((kept >> np.uint32(b)) & np.uint32(1)).astype(np.uint64).reshape(-1, LANES_IN_LONG) * _LANE).sum(axis=1) for b in range(BITS)]
-    return key.view(np.int64), np.concatenate(planes).view(np.int64)
+    return key.view(np.int64), packed(low, BITS, LANES_IN_LONG)
 
 
 def _features(k: int):
@@ -124,6 +134,13 @@ def _features(k: int):
     return F.pandas_udf(features, FEATURES).asNondeterministic()
 
 
+def _wide(k: int):
+    def wide(texts: pd.Series) -> pd.Series:
+        return pd.Series([packed(minima(shingle_hashes(words_of(t), k), _WIDE_MUL, _WIDE_ADD), WIDE_BITS, 64) for t in texts])
+
+    return F.pandas_udf(wide, "array<long>").asNondeterministic()
+
+
 def _linked(k: int, percent: int):
     def linked(a: pd.Series, b: pd.Series) -> pd.Series:
         last, mine, out = None, None, []
@@ -138,18 +155,18 @@ def _linked(k: int, percent: int):
     return F.pandas_udf(linked, "boolean").asNondeterministic()
 
 
-def estimate(a: str, b: str) -> Column:
+def estimate(a: str, b: str, lanes: int = LANES, bits: int = BITS, in_long: int = LANES_IN_LONG) -> Column:
     """Similarity from two planes columns, corrected for lanes that agree by chance."""
-    per = LANES // LANES_IN_LONG
+    per = lanes // in_long
     differ = None
     for i in range(per):
         word = None
-        for bit in range(BITS):
+        for bit in range(bits):
             x = F.col(a)[bit * per + i].bitwiseXOR(F.col(b)[bit * per + i])
             word = x if word is None else word.bitwiseOR(x)
         differ = F.bit_count(word) if differ is None else differ + F.bit_count(word)
-    chance = 1 / 2**BITS
-    return ((1 - differ / LANES) - chance) / (1 - chance)
+    chance = 1 / 2**bits
+    return ((1 - differ / lanes) - chance) / (1 - chance)
 
 
 def _estimated(pairs: DataFrame, planes: DataFrame, percent: int) -> DataFrame:
@@ -169,6 +186,29 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataF
     return pairs.where(_linked(k, percent)("t_a", "t_b")).select("a", "b").distinct()
 
 
+def _meeting(labelled: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of different labels that share a band and that sizes and both sketches don't rule out.
+
+    Members of such bands get a wider sketch first.  All tests stand in the
+    join's condition, so the join makes no row for a pair that they rule out,
+    and one row for a pair that meets in several bands.
+    """
+    ids = materialise(labelled.select(F.col("rep").alias("doc_id")).distinct(), "ids")
+    wide = semi(docs, ids, "doc_id", ids.count()).select(F.col("doc_id").alias("rep"), _wide(k)("text").alias("wide")).dropDuplicates(["rep"])
+    sketched = materialise(reps.select("rep", "n_shingles", "planes", "bands").join(wide, "rep"), "sketches")
+    sides = []
+    for x in "ab":
+        side = labelled.join(sketched, "rep")
+        sides.append(side.select("bucket", *[F.col(c).alias(f"{c}_{x}") for c in ("rep", "label", "n_shingles", "planes", "bands", "wide")]))
+    sized = (100 * F.col("n_shingles_a") >= percent * F.col("n_shingles_b")) & (100 * F.col("n_shingles_b") >= percent * F.col("n_shingles_a"))
+    alike = (estimate("planes_a", "planes_b") >= percent / 100 - MARGIN) & (estimate("wide_a", "wide_b", WIDE, WIDE_BITS, 64) >= percent / 100 - WIDE_MARGIN)
+    once = F.array_min(F.array_intersect("bands_a", "bands_b")) == F.col("bucket")
+    left, right = sides
+    right = right.withColumnRenamed("bucket", "bucket_b")
+    met = left.join(right, (F.col("bucket") == F.col("bucket_b")) & (F.col("rep_a") < F.col("rep_b")) & (F.col("label_a") != F.col("label_b")) & sized & alike & once)
+    return met.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id (smallest doc_id reachable over links) and kept."""
     small_batches(docs.sparkSession)
@@ -195,13 +235,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     labelled = materialise(labelled, "labelled")
     mixed = labelled.groupBy("bucket").agg(F.min("label").alias("_l"), F.max("label").alias("_h")).where("_l < _h").select("bucket")
     labelled = materialise(labelled.join(mixed, "bucket", "left_semi"), "mixed")
-    groups = labelled.select("bucket", "label").distinct()
-    meet = groups.withColumnRenamed("label", "l_a").join(groups.withColumnRenamed("label", "l_b"), "bucket").where("l_a < l_b")
-    pairs = meet
-    for x in "ab":
-        pairs = pairs.join(labelled.select("bucket", F.col("label").alias(f"l_{x}"), F.col("rep").alias(x)), ["bucket", f"l_{x}"])
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    second = _confirmed(materialise(_estimated(pairs, planes, percent).select("a", "b"), "second"), docs, shingle, percent)
+    second = _confirmed(materialise(_meeting(labelled, reps, docs, shingle, percent), "second"), docs, shingle, percent)
     second = materialise(second, "links")
     label = lambda x: tree.select(F.col("node").alias(x), F.col("root").alias(f"l_{x}"))
     edges = second.join(label("a"), "a", "left").join(label("b"), "b", "left").select(F.coalesce("l_a", "a").alias("u"), F.coalesce("l_b", "b").alias("v"))
