@@ -13,7 +13,7 @@ are cut like others; repeated rows count once.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ontoloom.llm.common import own_columns, table
@@ -88,6 +88,10 @@ def licence_sentences(docs: DataFrame) -> DataFrame:
     return cut.join(F.broadcast(known), "sentence").select("doc_id", "pos", "sid")
 
 
+def _first(sid: str) -> Column:
+    return F.array_min(F.transform(F.filter("s", lambda x: x["sid"] == sid), lambda x: x["pos"]))
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, licence, licence_class, first_sentence: one row a document and a licence it names."""
     found = licence_sentences(own_columns(docs, "doc_id", "text"))
@@ -98,7 +102,7 @@ def scan(docs: DataFrame) -> DataFrame:
     for number, (licence, kind, ids) in enumerate(RULES):
         held = F.col("ids").rlike(" " + " (?:.* )?".join(ids) + " ")
         wins = [k for k in range(number) if set(ids) < set(RULES[k][2])]
-        first = F.array_min(F.transform(F.filter("s", lambda x, a=ids[0]: x["sid"] == a), lambda x: x["pos"]))
+        first = _first(ids[0])
         row = F.struct(F.lit(licence).alias("licence"), F.lit(kind).alias("licence_class"), first.cast("long").alias("first_sentence"), F.lit(number).alias("rule"), F.array(*map(F.lit, wins)).cast("array<int>").alias("under"))
         matches.append(F.when(held, row))
     rows = ordered.select("doc_id", F.filter(F.array(*matches), lambda m: m.isNotNull()).alias("m"))
