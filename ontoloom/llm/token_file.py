@@ -13,9 +13,10 @@ Repeated rows are kept each.  An empty table gives an empty result.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,10 +36,14 @@ ORC = {
 def _encoded(path: str, end_id: int):
     end = tokens.end_bytes(end_id)
 
-    def encoded(texts: pd.Series) -> pd.Series:
-        return pd.Series([np.frombuffer(raw + end, dtype="<i4") for raw in tokens.encoder(path, False).encode(texts.tolist())])
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raws = [raw + end for raw in tokens.encoder(path, False).encode(batch.column("text").to_pylist())]
+            offsets = np.append(0, np.cumsum([len(r) // 4 for r in raws])).astype(np.int32)
+            flat = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(raws))])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), flat), batch.column("part")], names=["doc_id", "ids", "part"])
 
-    return F.pandas_udf(encoded, "array<int>").asNondeterministic()
+    return encoded
 
 
 def write(docs: DataFrame, out: str, path: str, end_id: int = tokens.END_ID, parts: int | None = None) -> None:
@@ -48,7 +53,8 @@ def write(docs: DataFrame, out: str, path: str, end_id: int = tokens.END_ID, par
     docs = own_columns(docs, "doc_id", "text")
     by = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     dealt = docs.repartitionByRange(parts, *by) if parts else docs.repartitionByRange(*by)
-    ids = dealt.sortWithinPartitions(*by).withColumn("part", F.spark_partition_id()).select("doc_id", _encoded(path, end_id)("text").alias("ids"), "part")
+    placed = dealt.sortWithinPartitions(*by).select(F.col("doc_id").cast("long"), "text", F.spark_partition_id().alias("part"))
+    ids = placed.mapInArrow(_encoded(path, end_id), "doc_id long, ids array<int>, part int")
     ids.write.options(**ORC).orc(out)
 
 
@@ -58,8 +64,14 @@ def read(spark, out: str, doc_ids: list[int] | None = None) -> DataFrame:
     return found.where(F.col("doc_id").isin(doc_ids)) if doc_ids is not None else found
 
 
-def _crc(ids: pd.Series) -> pd.Series:
-    return pd.Series([zlib.crc32(np.asarray(x, dtype="<i4").tobytes()) for x in ids], dtype="int64")
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids = batch.column("ids")
+        at = ids.offsets.to_numpy() * 4
+        raw = memoryview(ids.values.buffers()[1] or b"")
+        shift = ids.values.offset * 4
+        crcs = [zlib.crc32(raw[shift + a : shift + b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("part"), pa.array(np.diff(at) // 4, pa.int64()), pa.array(crcs, pa.int64())], names=["doc_id", "part", "n_tokens", "ids_crc32"])
 
 
 def index(spark, out: str) -> DataFrame:
@@ -67,7 +79,7 @@ def index(spark, out: str) -> DataFrame:
 
     start sums tokens within a part and adds the tokens of the parts before it (one row a part).
     """
-    found = read(spark, out).select("doc_id", "part", F.size("ids").cast("long").alias("n_tokens"), F.pandas_udf(_crc, "long").asNondeterministic()("ids").alias("ids_crc32"))
+    found = read(spark, out).mapInArrow(_summed, "doc_id long, part int, n_tokens long, ids_crc32 long")
     parts = read(spark, out).groupBy("part").agg(F.sum(F.size("ids")).alias("n"))
     before = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("_before"))
     inside = Window.partitionBy("part").orderBy(F.col("doc_id").asc_nulls_first(), "ids_crc32").rowsBetween(Window.unboundedPreceding, 0)

@@ -1,24 +1,41 @@
 """Encoding of whole texts with the tokenizers library, cached by chunks.
 
-A text is cut at single spaces between two other characters.  No token of the
-two supported tokenizers reaches over such a place (one keeps a space with the
-word after it, the other drops white space), so a chunk's ids depend on the
-chunk alone and are cached as little-endian 32-bit bytes.  Texts with runs of
-white space are cut only where that holds.  The cache is emptied when it is
-full, so a worker's memory stays bounded whatever the vocabulary.
+A text is cut at single spaces and line feeds between two other characters.  No
+token of the two supported tokenizers reaches over such a place (one keeps a
+space with the word after it, the other drops white space), so a chunk's ids
+depend on the chunk alone and are cached as little-endian 32-bit bytes.  New
+chunks go to the library many at a time, joined to one string; tokens that only
+start (or only part) chunks give the borders back.  Chunks with other white
+space, and texts with runs of white space, take a slower way with the same
+result.  The cache is emptied when it is full, so a worker's memory stays
+bounded whatever the vocabulary.
 """
 
 from __future__ import annotations
 
 import re
+from itertools import filterfalse
 
 import numpy as np
 
-CACHE_CHUNKS = 400_000
-CALL_CHUNKS = 2000
+CACHE_CHUNKS = 500_000
+CALL_CHUNKS = 4000
 END_ID = 2
-_SAFE_SPACE = re.compile(r"(?<!\s) (?!\s)")
-_RUN = re.compile(r"\s\s|^\s|\s$")
+#: Marks a text's first chunk, which has no space before it.
+FIRST = "\x00"
+#: A word that is one token, put between chunks where white space is dropped.
+PARTER = "wednesday"
+_CUT = re.compile(r"(?<!\s) (?!\s)|(?<!\s)(?=\n\S)")
+_PLAIN = re.compile(r"\n?\S+")
+#: White space other than space and line feed, which sends a text the slower way, as do pairs of these two.
+_OTHER = "\t\v\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+_PAIRS = ("  ", "\n\n", " \n", "\n ")
+
+
+def _runs(text: str) -> bool:
+    if any(x in text for x in _PAIRS) or text[0] in " \n" or text[-1] in " \n":
+        return True
+    return any(x in text for x in (_OTHER[:8] if text.isascii() else _OTHER))
 
 
 class ChunkEncoder:
@@ -31,29 +48,90 @@ class ChunkEncoder:
         self._tokenizer.encode_special_tokens = True
         self._spaces = spaces
         self._cache: dict[str, bytes] = {}
+        size = self._tokenizer.get_vocab_size()
+        names = [self._tokenizer.id_to_token(i) or "" for i in range(size)]
+        if spaces:  # byte-level names of tokens that begin with a space or line feed
+            self._starts = np.array([n[:1] in ("\u0120", "\u010a") for n in names])
+        else:
+            self._ends = np.array([n.endswith("</w>") for n in names])
+            self._part = names.index(PARTER + "</w>")
+        self._tails = {c: self._one(c) for c in ",.!"}
+
+    def _one(self, text: str) -> bytes:
+        return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _keys(self, text: str) -> list[str]:
+        """Chunk keys: "x" stands for " x", "\\nx" for itself, FIRST + "x" for an "x" at the text's start."""
+        if not self._spaces:
+            return text.replace("\n", " ").split(" ")
+        if _runs(text):
+            cut = _CUT.split(text)
+        else:
+            cut = text.replace("\n", " \n").split(" ")
+        cut[0] = FIRST + cut[0]
+        return cut
 
-    def _chunks(self, text: str) -> list[str]:
-        cut = _SAFE_SPACE.split(text) if _RUN.search(text) else text.split(" ")
+    def _many(self, keys: list[str], words: bool) -> list[str]:
+        """Encode keys in one call; returns them if the borders don't come out as expected."""
         if self._spaces:
-            cut[1:] = map(" ".__add__, cut[1:])
-        return cut
+            joined = "".join(k if k[0] == "\n" else " " + k for k in keys)
+        else:
+            joined = " ".join(keys) if words else f" {PARTER} ".join([*keys, ""])
+        ids = np.array(self._tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype="<u4")
+        if self._spaces:
+            begin = np.flatnonzero(self._starts[ids])
+            end = np.append(begin[1:], len(ids))
+        elif words:
+            end = np.flatnonzero(self._ends[ids]) + 1
+            begin = np.append(0, end[:-1])
+        else:
+            end = np.flatnonzero(ids == self._part)
+            begin = np.append(0, end[:-1] + 1)
+        if len(begin) != len(keys) or begin[0]:
+            return keys
+        raw = ids.tobytes()
+        self._cache.update((k, raw[a:b]) for k, a, b in zip(keys, (begin * 4).tolist(), (end * 4).tolist(), strict=True))
+        return []
+
+    def _add(self, new: list[str]) -> None:
+        cache, later, plain, tailed = self._cache, [], [], []
+        known = set(new)
+        for k in new:
+            if not _PLAIN.fullmatch(k) or k[0] == FIRST and self._spaces or not self._spaces and PARTER in k.lower():
+                later.append(k)
+            elif k[-1] in self._tails and len(k) > 1 and (base := k[:-1]).isalpha() and (base.isascii() or base.lower().isalpha()):
+                # A word and the mark after it are separate tokens.
+                tailed.append((k, base, k[-1]))
+                if base not in cache and base not in known:
+                    known.add(base)
+                    plain.append(base)
+            else:
+                plain.append(k)
+        words = [] if self._spaces else [k for k in plain if k.isalpha() and (k.isascii() or k.lower().isalpha())]
+        if words:  # each is one run of letters, so its last token alone ends a word
+            rest = set(words)
+            plain = [k for k in plain if k not in rest]
+        for keys, alpha in ((words, True), (plain, False)):
+            for i in range(0, len(keys), CALL_CHUNKS):
+                later += self._many(keys[i : i + CALL_CHUNKS], alpha)
+        for k in filterfalse(cache.__contains__, later):
+            cache[k] = self._one(k[1:] if self._spaces and k[:1] == FIRST else k if not self._spaces or k[:1] == "\n" else " " + k)
+
+        for k, base, tail in tailed:
+            cache[k] = cache[base] + self._tails[tail]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Per text its ids as little-endian unsigned 32-bit integers, without an end id."""
-        chunks = [self._chunks(t) if t else [] for t in texts]
         cache = self._cache
         if len(cache) > CACHE_CHUNKS:
             cache.clear()
-        new = list(set().union(*chunks) - cache.keys())
-        for i in range(0, len(new), CALL_CHUNKS):
-            part = new[i : i + CALL_CHUNKS]
-            found = self._tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
-            raw = np.array(found.ids, dtype="<u4").tobytes()
-            at = np.array(found.word_ids, dtype=np.int64)
-            cuts = (np.searchsorted(at, np.arange(len(part) + 1)) * 4).tolist()
-            for k, chunk in enumerate(part):
-                cache[chunk] = raw[cuts[k] : cuts[k + 1]]
-        return [b"".join(map(cache.__getitem__, c)) for c in chunks]
+        chunks = [None if t and self._spaces and FIRST in t else self._keys(t) if t else [] for t in texts]
+        new: set[str] = set()
+        for c in filter(None, chunks):
+            new.update(filterfalse(cache.__contains__, c))
+        if new:
+            self._add(list(new))
+        return [self._one(t) if c is None else b"".join(map(cache.__getitem__, c)) for t, c in zip(texts, chunks, strict=True)]
 
 
 _encoders: dict[tuple[str, bool], ChunkEncoder] = {}
