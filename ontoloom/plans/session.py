@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _PACKAGE = Path(__file__).resolve().parents[1]
 
@@ -23,3 +24,21 @@ def ship_package(spark: SparkSession) -> None:
             z.write(p, str(p.relative_to(_PACKAGE.parent)))
     sc.addPyFile(path)
     sc._ontoloom_shipped = True
+
+
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A new path in the folder of spark.checkpoint.dir; where that is unset (one machine), in a local folder."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="ontoloom-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def settle(df: DataFrame, label: str) -> DataFrame:
+    """Write df and read it again: an iteration's lineage is cut, and lost executors cost no recomputation."""
+    path = shared_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
