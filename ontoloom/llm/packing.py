@@ -119,7 +119,7 @@ def _placed(plan: pd.DataFrame):
     """(length, rank) -> sequence and offset; the plan has a few thousand rows at most."""
     length, rank = plan["length"].to_numpy(np.int64), plan["rank"].to_numpy(np.int64)
     sequence, each, offset = (plan[c].to_numpy(np.int64) for c in ("sequence", "each", "offset"))
-    start = {int(k): (int(a), int(b)) for k, a, b in zip(*np.unique(length, return_index=True), np.append(np.unique(length, return_index=True)[1][1:], len(length)), strict=True)}
+    start = {int(k): (int(np.searchsorted(length, k)), int(np.searchsorted(length, k, side="right"))) for k in np.unique(length)}
 
     def placed(lengths: pd.Series, ranks: pd.Series) -> pd.DataFrame:
         m, r = lengths.to_numpy(np.int64), ranks.to_numpy(np.int64)
