@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ontoloom.llm import tokens
-from ontoloom.llm.common import new_path, own_columns, small_batches, table
+from ontoloom.llm.common import materialise, new_path, own_columns, small_batches, table
 
 ORC = {
     "compression": "zstd",
@@ -79,8 +79,8 @@ def index(spark, out: str) -> DataFrame:
 
     start sums tokens within a part and adds the tokens of the parts before it (one row a part).
     """
-    found = read(spark, out).mapInArrow(_summed, "doc_id long, part int, n_tokens long, ids_crc32 long")
-    parts = read(spark, out).groupBy("part").agg(F.sum(F.size("ids")).alias("n"))
+    found = materialise(read(spark, out).mapInArrow(_summed, "doc_id long, part int, n_tokens long, ids_crc32 long"), "token-index")
+    parts = found.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     before = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("_before"))
     inside = Window.partitionBy("part").orderBy(F.col("doc_id").asc_nulls_first(), "ids_crc32").rowsBetween(Window.unboundedPreceding, 0)
     summed = found.withColumn("_in", F.sum("n_tokens").over(inside) - F.col("n_tokens"))

@@ -18,7 +18,7 @@ from itertools import filterfalse
 
 import numpy as np
 
-CACHE_CHUNKS = 500_000
+CACHE_CHUNKS = 1_200_000
 CALL_CHUNKS = 4000
 END_ID = 2
 #: Marks a text's first chunk, which has no space before it.
