@@ -77,12 +77,21 @@ def training_rows(docs: DataFrame, labels: DataFrame, limit: int) -> DataFrame:
     return docs.join(F.broadcast(known), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "toxic")  # known has at most limit rows
 
 
-def _toxic_entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        counts: Counter[str] = Counter()
-        for text in batch["text"]:
-            counts.update({e for w in words_in(text) for e in entries_of(w)})
-        yield pd.DataFrame({"entry": list(counts), "n": list(counts.values())})
+def _entry_counts(known: frozenset[str] | None):
+    """Texts by entry and batch; with known, of those entries alone."""
+
+    def entry_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            counts: Counter[str] = Counter()
+            for text in batch["text"]:
+                counts.update({e for w in words_in(text) for e in entries_of(w) if known is None or e in known})
+            yield pd.DataFrame({"entry": list(counts), "n": list(counts.values())})
+
+    return entry_counts
+
+
+def _by_entry(texts: DataFrame, known: frozenset[str] | None = None) -> DataFrame:
+    return texts.select("text").mapInPandas(_entry_counts(known), "entry string, n long").groupBy("entry").agg(F.sum("n").alias("n"))
 
 
 def _hits(entries: frozenset[str]):
@@ -155,17 +164,14 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> dic
     """weights by lexicon entry and by base pattern, and the bias."""
     small_batches(docs.sparkSession)
     train = materialise(training_rows(own_columns(docs, "doc_id", "text"), own_columns(labels, "doc_id", "toxic"), train_rows), "toxic-train")
-    counts = train.where("toxic = 1").select("text").mapInPandas(_toxic_entries, "entry string, n long").groupBy("entry").agg(F.sum("n").alias("n"))
+    counts = _by_entry(train.where("toxic = 1"))
     mined = {r["entry"]: r["n"] for r in counts.where("n >= 3").orderBy(F.desc("n"), "entry").limit(MAX_ENTRIES).collect()}
-    rows = train.mapInPandas(_hits(frozenset(mined)), "doc_id long, toxic int, entries array<string>, base array<string>").collect()  # at most train_rows
+    clean = {r["entry"]: r["n"] for r in _by_entry(train.where("toxic = 0"), frozenset(mined)).collect()}  # at most MAX_ENTRIES
+    n_toxic, n_rows = train.where("toxic = 1").count(), train.count()
+    ratio = (n_rows - n_toxic + 1) / (n_toxic + 1)
+    strong = {e for e, n in mined.items() if (n + 0.5) / (clean.get(e, 0) + 0.5) * ratio >= 15}
+    rows = train.mapInPandas(_hits(frozenset(strong)), "doc_id long, toxic int, entries array<string>, base array<string>").collect()  # at most train_rows
     rows.sort(key=lambda r: r["doc_id"])
-    clean: Counter[str] = Counter()
-    for r in rows:
-        if not r["toxic"]:
-            clean.update(r["entries"])
-    n_toxic = sum(r["toxic"] for r in rows)
-    ratio = (len(rows) - n_toxic + 1) / (n_toxic + 1)
-    strong = {e for e, n in mined.items() if (n + 0.5) / (clean[e] + 0.5) * ratio >= 15}
     group = {e: sum(e[:3].encode()) % GROUPS for e in strong}
     voters = [*BASE, *(f"mined{g}" for g in range(GROUPS)), "nothing", "annotator"]
     column = {v: i for i, v in enumerate(voters)}
