@@ -36,8 +36,8 @@ BITS, LANES_IN_LONG = 4, 60
 #: A link at 0.8 is missed by all bands with probability (1 - 0.8 ** 5) ** 36 = 6e-7.
 MARGIN = 0.15
 WORD_CACHE = 300_000
-#: Besides a band's smallest member so many drawn ones serve as hubs; a representative is checked against its TRIES likeliest hubs.
-HUBS, TRIES = 2, 3
+#: Besides a band's smallest member so many drawn ones serve as hubs (candidates grow with members times hubs); a representative is checked against its TRIES likeliest hubs.
+HUBS, TRIES = 1, 3
 
 #: A wider sketch for representatives whose bands still join different groups.
 WIDE, WIDE_BITS, WIDE_MARGIN = 2048, 2, 0.048
