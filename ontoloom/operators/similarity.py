@@ -117,3 +117,74 @@ def sufficiency(statistics: DataFrame) -> DataFrame:
     over = statistics.agg(F.avg("mean_ic").alias("_mean"), F.max("max_ic").alias("_max"), F.avg("sum_ic").alias("_sum"))
     part = lambda a, b: F.when(F.col(b) > 0, F.least(F.lit(1.0), F.col(a) / F.col(b))).otherwise(0.0)
     return statistics.join(F.broadcast(over)).select("element", ((part("mean_ic", "_mean") + part("max_ic", "_max") + part("sum_ic", "_sum")) / 3).alias("sufficiency"))
+
+
+def search(query: DataFrame, targets: DataFrame, marks: DataFrame, up: DataFrame, min_simj_percent: int = 0, min_max_ic: float = 0.0) -> DataFrame:
+    """Ranked matches of one element (query) among targets (both: element): a, b, simj, max_ic, bma, combined, rank (from 0).
+
+    Cut-offs: Jaccard in whole per cent, at least; best common IC, above.
+    combined is the mean, in whole numbers, of max_ic and bma as whole per cent
+    of the best value, the query's match with itself included.  Ties go by id.
+    """
+    from pyspark.sql import Window
+
+    full = inferred(marks, up)
+    ic = information_content(full)
+    one = F.broadcast(query.select(F.col("element").alias("a")).distinct().limit(1))  # one row
+    pairs = one.crossJoin(targets.select(F.col("element").alias("b")).distinct().union(query.select("element").distinct()).distinct())
+    scored = pair_scores(pairs, full, ic).where((F.floor(100 * F.col("simj") + 1e-9) >= min_simj_percent) & (F.col("max_ic") > min_max_ic))
+    best = best_match_average(scored.select("a", "b"), marks, up, ic).select("a", "b", "bma")
+    out = scored.join(best, ["a", "b"])
+    tops = out.agg(F.max("max_ic").alias("_ic"), F.max("bma").alias("_bma"))
+    percent = lambda x, y: F.when(F.col(y) > 0, F.floor(100 * F.col(x) / F.col(y) + 1e-9)).otherwise(0)
+    out = out.join(F.broadcast(tops)).withColumn("combined", F.floor((percent("max_ic", "_ic") + percent("bma", "_bma")) / 2).cast("long"))
+    rank = (F.row_number().over(Window.partitionBy("a").orderBy(F.desc("combined"), "b")) - 1).cast("long")
+    return out.where("a <> b").withColumn("rank", rank).select("a", "b", "simj", "max_ic", "bma", "combined", "rank")
+
+
+def lin(pairs: DataFrame, up: DataFrame, ic: DataFrame) -> DataFrame:
+    """(a, b, lcs, lcs_ic, lin) for pairs of classes: the common subsumer of highest IC (ties: smallest id) and 2 IC(lcs) / (IC(a) + IC(b))."""
+    from ontoloom.operators.closure import common_subsumers
+
+    own = ic.select("attribute", "ic")
+    common = common_subsumers(pairs, up).join(own.withColumnRenamed("attribute", "subsumer"), "subsumer")
+    best = common.groupBy("a", "b").agg(F.min(F.struct((-F.col("ic")).alias("m"), "subsumer")).alias("x")).select("a", "b", F.col("x.subsumer").alias("lcs"), (-F.col("x.m")).alias("lcs_ic"))
+    for x in "ab":
+        best = best.join(own.toDF(x, f"ic_{x}"), x)
+    total = F.col("ic_a") + F.col("ic_b")
+    return best.select("a", "b", "lcs", "lcs_ic", F.when(total > 0, 2 * F.col("lcs_ic") / total).otherwise(0.0).alias("lin"))
+
+
+def conditional_probability(pairs: DataFrame, full: DataFrame) -> DataFrame:
+    """(a, b, n_both, p) for pairs of classes: elements of both, and their share of b's elements."""
+    left = pairs.join(full.withColumnRenamed("attribute", "a"), "a")
+    both = left.join(full.withColumnRenamed("attribute", "b"), ["b", "element"]).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_both"))
+    out = pairs.join(frequencies(full).withColumnRenamed("attribute", "b"), "b").join(both, ["a", "b"], "left")
+    n = F.coalesce("n_both", F.lit(0))
+    return out.select("a", "b", n.alias("n_both"), (n / F.col("n_elements")).alias("p"))
+
+
+def co_annotation_weights(full: DataFrame, within: DataFrame) -> DataFrame:
+    """(a, b, n_both, weight): ln(n_both) * ln(N + n_b), N elements in all.
+
+    The sum N + n_b, not N / (1 + n_b), gives the established results.
+    """
+    few = full.join(within, "attribute", "left_semi")
+    size = few.agg(F.count_distinct("element").alias("_n"))
+    both = few.withColumnRenamed("attribute", "a").join(few.withColumnRenamed("attribute", "b"), "element").where("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_both"))
+    n = frequencies(few).select(F.col("attribute").alias("b"), "n_elements")
+    return both.join(n, "b").join(F.broadcast(size)).select("a", "b", "n_both", (F.log("n_both") * F.log(F.col("_n") + F.col("n_elements"))).alias("weight"))
+
+
+def enrichment_filtered(results: DataFrame, closed: DataFrame) -> DataFrame:
+    """Enrichment rows without those whose class stands above a class with a smaller p."""
+    over = closed.where("source <> target").select(F.col("source").alias("_better"), F.col("target").alias("attribute"))
+    better = results.select(F.col("attribute").alias("_better"), F.col("p").alias("_p"))
+    worse = results.join(over, "attribute").join(better, "_better").where("_p < p").select("attribute").distinct()
+    return results.join(worse, "attribute", "left_anti")
+
+
+def metric_statistics(scores: DataFrame, *metrics: str) -> DataFrame:
+    """metric, n, mean, low, high of score columns over all pairs."""
+    long = scores.select(F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("v")) for m in metrics])))
+    return long.groupBy("metric").agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.min("v").alias("low"), F.max("v").alias("high"))

@@ -67,3 +67,29 @@ def pairs(spark, sf_dir) -> DataFrame:
 
 
 PAIRS = "SELECT a, b FROM (SELECT o_orderkey AS a, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS b FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)) WHERE b IS NOT NULL"
+
+
+def labelled_edges(spark, sf_dir) -> DataFrame:
+    """customer is_a nation part_of region is_a ROOT; supplier member_of nation"""
+    c, s, n, r = (_read(spark, sf_dir, t) for t in ("customer", "supplier", "nation", "region"))
+    edge = lambda df, a, x, b, y, p: df.select(F.concat(F.lit(a), F.col(x)).alias("source"), (F.concat(F.lit(b), F.col(y)) if y else F.lit(b)).alias("target"), F.lit(p).alias("property"))
+    low = edge(c, "C:", "c_custkey", "N:", "c_nationkey", "is_a").union(edge(s, "U:", "s_suppkey", "N:", "s_nationkey", "member_of"))
+    return low.union(edge(n, "N:", "n_nationkey", "R:", "n_regionkey", "part_of")).union(edge(r, "R:", "r_regionkey", "ROOT", None, "is_a"))
+
+
+LABELLED = "SELECT 'C:' || c_custkey AS source, 'N:' || c_nationkey AS target, 'is_a' AS property FROM customer UNION SELECT 'U:' || s_suppkey, 'N:' || s_nationkey, 'member_of' FROM supplier UNION SELECT 'N:' || n_nationkey, 'R:' || n_regionkey, 'part_of' FROM nation UNION SELECT 'R:' || r_regionkey, 'ROOT', 'is_a' FROM region"
+
+
+def annotations(spark, sf_dir) -> DataFrame:
+    """One annotation a line item: order -> part, evidence from the return flag, a partner order, qualifiers from the line number."""
+    l, c = _read(spark, sf_dir, "lineitem"), F.col  # noqa: E741
+    evidence = F.when(c("l_returnflag") == "A", "IPI").when(c("l_returnflag") == "N", "IEA").otherwise("IDA")
+    partner = F.when(c("l_linestatus") == "F", F.array(F.concat(F.lit("O:"), c("l_orderkey") + 1))).otherwise(F.array().cast("array<string>"))
+    qualifier = F.element_at(F.array(*map(F.lit, ("", "NOT", "NOT|contributes to", "Colocalizes_With,odd"))), (c("l_linenumber") % 4 + 1).cast("int"))
+    return l.select(
+        (c("l_orderkey") * 10 + c("l_linenumber")).alias("annotation_id"), F.concat(F.lit("O:"), "l_orderkey").alias("bioentity"), F.concat(F.lit("P:"), "l_partkey").alias("cls"),
+        evidence.alias("evidence"), partner.alias("with_from"), qualifier.alias("qualifier"), c("l_shipdate").cast("date").alias("date"), F.concat(F.lit("U:"), "l_suppkey").alias("taxon"), F.col("l_linestatus").alias("assigned_by"),
+    )
+
+
+ANNOTATIONS = "SELECT CAST(l_orderkey * 10 + l_linenumber AS BIGINT) AS annotation_id, 'O:' || l_orderkey AS bioentity, 'P:' || l_partkey AS cls, CASE l_returnflag WHEN 'A' THEN 'IPI' WHEN 'N' THEN 'IEA' ELSE 'IDA' END AS evidence, CASE WHEN l_linestatus = 'F' THEN 'O:' || (l_orderkey + 1) END AS partner, ['', 'NOT', 'NOT|contributes to', 'Colocalizes_With,odd'][l_linenumber % 4 + 1] AS qualifier, CAST(l_shipdate AS DATE) AS date, 'U:' || l_suppkey AS taxon, l_linestatus AS assigned_by FROM lineitem"
