@@ -94,23 +94,22 @@ class ChunkEncoder:
         return []
 
     def _add(self, new: list[str]) -> None:
-        cache, later, plain, tailed = self._cache, [], [], []
+        cache, later, plain, words, tailed = self._cache, [], [], [], []
+        whole = plain if self._spaces else words  # a run of letters is one pre-token, so its last token alone ends a word
         known = set(new)
         for k in new:
-            if not _PLAIN.fullmatch(k) or k[0] == FIRST and self._spaces or not self._spaces and PARTER in k.lower():
+            if k.isalpha() and (k.isascii() or k.lower().isalpha()):
+                whole.append(k)
+            elif not _PLAIN.fullmatch(k) or k[0] == FIRST and self._spaces or not self._spaces and PARTER in k.lower():
                 later.append(k)
             elif k[-1] in self._tails and len(k) > 1 and (base := k[:-1]).isalpha() and (base.isascii() or base.lower().isalpha()):
                 # A word and the mark after it are separate tokens.
                 tailed.append((k, base, k[-1]))
                 if base not in cache and base not in known:
                     known.add(base)
-                    plain.append(base)
+                    whole.append(base)
             else:
                 plain.append(k)
-        words = [] if self._spaces else [k for k in plain if k.isalpha() and (k.isascii() or k.lower().isalpha())]
-        if words:  # each is one run of letters, so its last token alone ends a word
-            rest = set(words)
-            plain = [k for k in plain if k not in rest]
         for keys, alpha in ((words, True), (plain, False)):
             for i in range(0, len(keys), CALL_CHUNKS):
                 later += self._many(keys[i : i + CALL_CHUNKS], alpha)
