@@ -20,9 +20,11 @@ an empty table gives no pieces.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,7 +35,6 @@ from ontoloom.llm.common import materialise, own_columns, small_batches, table
 CAPACITY = 1024
 #: Pieces are ranked within (length, shelf); shelves spread a frequent length over tasks.
 SHELVES = 256
-PIECES = "array<struct<piece:int,start:long,length:long,ids_crc32:long>>"
 
 
 def cuts(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
@@ -45,16 +46,16 @@ def cuts(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
 
 
 def _pieces(path: str, capacity: int, end_id: int):
-    end = tokens.end_bytes(end_id)
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in filter(len, tokens.gathered(batches)):
+            ids, at = tokens.encoded(batch.column("text"), path, True, end_id)
+            raw, rows = memoryview(ids.astype("<u4", copy=False)).cast("B"), []
+            for row, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
+                rows += [(row, i, s, m, zlib.crc32(raw[4 * (a + s) : 4 * (a + s + m)])) for i, (s, m) in enumerate(cuts(b - a, capacity))]
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(columns[0]), *columns[1:]], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    def pieces(texts: pd.Series) -> pd.Series:
-        out = []
-        for raw in tokens.encoder(path, True).encode(texts.tolist()):
-            raw += end
-            out.append([{"piece": i, "start": s, "length": m, "ids_crc32": zlib.crc32(raw[4 * s : 4 * (s + m)])} for i, (s, m) in enumerate(cuts(len(raw) // 4, capacity))])
-        return pd.Series(out)
-
-    return F.pandas_udf(pieces, PIECES).asNondeterministic()
+    return pieces
 
 
 def fullest(counts: dict[int, int], room: int) -> dict[int, int]:
@@ -139,7 +140,8 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = tok
     spark = docs.sparkSession
     small_batches(spark)
     docs = own_columns(docs, "doc_id", "text")
-    cut = docs.select("doc_id", _pieces(path, capacity, end_id)("text").alias("p")).select("doc_id", F.inline("p"))
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("piece", T.IntegerType()), *(T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32"))])
+    cut = docs.mapInArrow(_pieces(path, capacity, end_id), schema)
     cut = cut.withColumn("_shelf", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SHELVES)).cast("int"))
     cut = materialise(cut, "pieces")
     shelf = cut.groupBy("length", "_shelf").agg(F.count(F.lit(1)).alias("n")).collect()  # at most capacity * SHELVES rows

@@ -34,14 +34,11 @@ ORC = {
 
 
 def _encoded(path: str, end_id: int):
-    end = tokens.end_bytes(end_id)
-
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raws = [raw + end for raw in tokens.encoder(path, False).encode(batch.column("text").to_pylist())]
-            offsets = np.append(0, np.cumsum([len(r) // 4 for r in raws])).astype(np.int32)
-            flat = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(raws))])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), flat), batch.column("part")], names=["doc_id", "ids", "part"])
+        for batch in tokens.gathered(batches):
+            ids, at = tokens.encoded(batch.column("text"), path, False, end_id)
+            lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.view(np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists, batch.column("part")], names=["doc_id", "ids", "part"])
 
     return encoded
 

@@ -14,17 +14,25 @@ bounded whatever the vocabulary.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from itertools import filterfalse
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 CACHE_CHUNKS = 1_200_000
 CALL_CHUNKS = 4000
 END_ID = 2
+#: Text bytes that one call encodes together.
+GATHER_BYTES = 6 << 20
 #: Marks a text's first chunk, which has no space before it.
 FIRST = "\x00"
 #: A word that is one token, put between chunks where white space is dropped.
 PARTER = "wednesday"
+#: What the byte-level vocabulary writes for a space.
+SPACE_MARK = "\u0120"
+_LEAD, _NOTHING = (pa.scalar(x, pa.large_string()) for x in (FIRST, ""))
 _CUT = re.compile(r"(?<!\s) (?!\s)|(?<!\s)(?=\n\S)")
 _PLAIN = re.compile(r"\n?\S+")
 #: White space other than space and line feed, which sends a text the slower way, as do pairs of these two.
@@ -42,10 +50,17 @@ class ChunkEncoder:
     """spaces: the tokenizer keeps a space with the word after it (else it drops white space)."""
 
     def __init__(self, path: str, spaces: bool):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True
+        # The same model without normaliser and splitting rules, for words of ASCII letters, which need neither.
+        self._bare = Tokenizer.from_file(path)
+        if spaces:  # no merge reaches over the mark that begins a word
+            self._bare.pre_tokenizer = None
+        else:
+            self._bare.normalizer = None
+            self._bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self._spaces = spaces
         self._cache: dict[str, bytes] = {}
         size = self._tokenizer.get_vocab_size()
@@ -71,13 +86,19 @@ class ChunkEncoder:
         cut[0] = FIRST + cut[0]
         return cut
 
-    def _many(self, keys: list[str], words: bool) -> list[str]:
-        """Encode keys in one call; returns them if the borders don't come out as expected."""
-        if self._spaces:
+    def _many(self, keys: list[str], words: bool, bare: bool = False) -> list[str]:
+        """Encode keys in one call; returns them if the borders don't come out as expected.
+
+        words: all are letters.  bare: all are ASCII letters.
+        """
+        if bare:
+            joined = SPACE_MARK + SPACE_MARK.join(keys) if self._spaces else " ".join(keys).lower()
+        elif self._spaces:
             joined = "".join(k if k[0] == "\n" else " " + k for k in keys)
         else:
             joined = " ".join(keys) if words else f" {PARTER} ".join([*keys, ""])
-        ids = np.array(self._tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype="<u4")
+        tokenizer = self._bare if bare else self._tokenizer
+        ids = np.array(tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype="<u4")
         if self._spaces:
             begin = np.flatnonzero(self._starts[ids])
             end = np.append(begin[1:], len(ids))
@@ -94,12 +115,12 @@ class ChunkEncoder:
         return []
 
     def _add(self, new: list[str]) -> None:
-        cache, later, plain, words, tailed = self._cache, [], [], [], []
+        cache, later, plain, words, letters, tailed = self._cache, [], [], [], [], []
         whole = plain if self._spaces else words  # a run of letters is one pre-token, so its last token alone ends a word
         known = set(new)
         for k in new:
             if k.isalpha() and (k.isascii() or k.lower().isalpha()):
-                whole.append(k)
+                (letters if k.isascii() else whole).append(k)
             elif not _PLAIN.fullmatch(k) or k[0] == FIRST and self._spaces or not self._spaces and PARTER in k.lower():
                 later.append(k)
             elif k[-1] in self._tails and len(k) > 1 and (base := k[:-1]).isalpha() and (base.isascii() or base.lower().isalpha()):
@@ -107,12 +128,12 @@ class ChunkEncoder:
                 tailed.append((k, base, k[-1]))
                 if base not in cache and base not in known:
                     known.add(base)
-                    whole.append(base)
+                    (letters if base.isascii() else whole).append(base)
             else:
                 plain.append(k)
-        for keys, alpha in ((words, True), (plain, False)):
+        for keys, alpha, bare in ((letters, True, True), (words, True, False), (plain, False, False)):
             for i in range(0, len(keys), CALL_CHUNKS):
-                later += self._many(keys[i : i + CALL_CHUNKS], alpha)
+                later += self._many(keys[i : i + CALL_CHUNKS], alpha, bare)
         for k in filterfalse(cache.__contains__, later):
             cache[k] = self._one(k[1:] if self._spaces and k[:1] == FIRST else k if not self._spaces or k[:1] == "\n" else " " + k)
 
@@ -121,16 +142,55 @@ class ChunkEncoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Per text its ids as little-endian unsigned 32-bit integers, without an end id."""
+        flat, at = self.encode_flat(texts)
+        raw, at = flat.tobytes(), (at * 4).tolist()
+        return [raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+
+    def encode_flat(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' ids in one array, and len(texts) + 1 places in it where texts begin or end.
+
+        Chunks are told apart by Arrow, so Python sees each chunk once in a call, not once an occurrence.
+        """
         cache = self._cache
         if len(cache) > CACHE_CHUNKS:
             cache.clear()
-        chunks = [None if t and self._spaces and FIRST in t else self._keys(t) if t else [] for t in texts]
-        new: set[str] = set()
-        for c in filter(None, chunks):
-            new.update(filterfalse(cache.__contains__, c))
+        slow = [i for i, t in enumerate(texts) if t and self._spaces and (FIRST in t or _runs(t))]
+        odd = {}
+        for i in slow:
+            keys = None if FIRST in texts[i] else self._keys(texts[i])
+            if keys:
+                self._add(list(set(filterfalse(cache.__contains__, keys))))
+            odd[i] = b"".join(map(cache.__getitem__, keys)) if keys else self._one(texts[i])
+        clean = pa.array(["" if i in odd else t or "" for i, t in enumerate(texts)], pa.large_string())
+        if self._spaces:
+            clean = pc.binary_join_element_wise(_LEAD, pc.replace_substring(clean, "\n", " \n"), _NOTHING)
+        else:
+            clean = pc.replace_substring(clean, "\n", " ")
+        cut = pc.split_pattern(clean, " ")
+        found = cut.values.dictionary_encode()
+        keys = found.dictionary.to_pylist()
+        cache.setdefault(FIRST if self._spaces else "", b"")
+        new = list(filterfalse(cache.__contains__, keys))
         if new:
-            self._add(list(new))
-        return [self._one(t) if c is None else b"".join(map(cache.__getitem__, c)) for t, c in zip(texts, chunks, strict=True)]
+            self._add(new)
+        raws = list(map(cache.__getitem__, keys))
+        ids = np.frombuffer(b"".join(raws), dtype="<u4")
+        size = np.fromiter(map(len, raws), np.int64, len(raws)) // 4
+        which = found.indices.to_numpy()
+        each = size[which]
+        ends = np.append(0, np.cumsum(each))
+        flat = ids[np.repeat((np.cumsum(size) - size)[which] - ends[:-1], each) + np.arange(ends[-1])]
+        at = ends[cut.offsets.to_numpy()]
+        if odd:
+            parts, last = [], 0
+            for i, raw in odd.items():
+                parts += [flat[last : at[i]], np.frombuffer(raw, dtype="<u4")]
+                last = at[i]
+            flat = np.concatenate([*parts, flat[last:]])
+            grown = np.zeros(len(at), np.int64)
+            grown[[i + 1 for i in odd]] = [len(r) // 4 for r in odd.values()]
+            at = at + np.cumsum(grown)
+        return flat, at
 
 
 _encoders: dict[tuple[str, bool], ChunkEncoder] = {}
@@ -144,11 +204,26 @@ def encoder(path: str, spaces: bool) -> ChunkEncoder:
     return _encoders[key]
 
 
+def gathered(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about GATHER_BYTES, so that a call meets a frequent chunk once in many texts."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.column(column).nbytes
+        if size >= GATHER_BYTES:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
+def encoded(texts: pa.Array, path: str, spaces: bool, end_id: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
+    """All texts' ids, each text followed by end_id, and the len(texts) + 1 places where texts begin or end."""
+    flat, at = encoder(path, spaces).encode_flat(texts.to_pylist())
+    return np.insert(flat, at[1:], np.uint32(end_id)), at + np.arange(len(at))
+
+
 def default_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
-
-
-def end_bytes(end_id: int = END_ID) -> bytes:
-    return int(end_id).to_bytes(4, "little")
