@@ -3,9 +3,11 @@
 A text is cut at single spaces and line feeds between two other characters.  No
 token of the two supported tokenizers reaches over such a place (one keeps a
 space with the word after it, the other drops white space), so a chunk's ids
-depend on the chunk alone and are cached as little-endian 32-bit bytes.  New
-chunks go to the library many at a time, joined to one string; tokens that only
-start (or only part) chunks give the borders back.  Chunks with other white
+depend on the chunk alone and are cached as little-endian 32-bit bytes.  Arrow
+tells the chunks of many texts apart.  New chunks go to the library many at a
+time, joined to one string (words of Latin letters to the bare model, as they
+need no normalising or splitting); tokens that only start (or only part) chunks
+give the borders back.  Chunks with other white
 space, and texts with runs of white space, take a slower way with the same
 result.  The cache is emptied when it is full, so a worker's memory stays
 bounded whatever the vocabulary.
@@ -22,7 +24,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 CACHE_CHUNKS = 1_200_000
-CALL_CHUNKS = 4000
+CALL_CHUNKS = 500
 END_ID = 2
 #: Text bytes that one call encodes together.
 GATHER_BYTES = 6 << 20
@@ -30,8 +32,11 @@ GATHER_BYTES = 6 << 20
 FIRST = "\x00"
 #: A word that is one token, put between chunks where white space is dropped.
 PARTER = "wednesday"
-#: What the byte-level vocabulary writes for a space.
-SPACE_MARK = "\u0120"
+#: Words of Latin letters that stay one character each in lower case and are their own composed form.
+_LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")
+#: Byte-level vocabularies write a printable byte as itself, and the others as the characters from U+0100 on.
+_PRINTED = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_BYTES = {b: 0x100 + i for i, b in enumerate(b for b in range(0x100) if b not in _PRINTED)}
 _LEAD, _NOTHING = (pa.scalar(x, pa.large_string()) for x in (FIRST, ""))
 _CUT = re.compile(r"(?<!\s) (?!\s)|(?<!\s)(?=\n\S)")
 _PLAIN = re.compile(r"\n?\S+")
@@ -54,8 +59,9 @@ class ChunkEncoder:
 
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True
-        # The same model without normaliser and splitting rules, for words of ASCII letters, which need neither.
+        # The same model without normaliser and splitting rules, for words of Latin letters, which need neither.
         self._bare = Tokenizer.from_file(path)
+        self._bytes = {b: c for b, c in _BYTES.items() if spaces or b != 0x20}
         if spaces:  # no merge reaches over the mark that begins a word
             self._bare.pre_tokenizer = None
         else:
@@ -89,10 +95,11 @@ class ChunkEncoder:
     def _many(self, keys: list[str], words: bool, bare: bool = False) -> list[str]:
         """Encode keys in one call; returns them if the borders don't come out as expected.
 
-        words: all are letters.  bare: all are ASCII letters.
+        words: all are letters.  bare: all are Latin letters.
         """
         if bare:
-            joined = SPACE_MARK + SPACE_MARK.join(keys) if self._spaces else " ".join(keys).lower()
+            joined = " ".join(["", *keys] if self._spaces else keys)
+            joined = (joined if self._spaces else joined.lower()).encode().decode("latin-1").translate(self._bytes)
         elif self._spaces:
             joined = "".join(k if k[0] == "\n" else " " + k for k in keys)
         else:
@@ -115,12 +122,12 @@ class ChunkEncoder:
         return []
 
     def _add(self, new: list[str]) -> None:
-        cache, later, plain, words, letters, tailed = self._cache, [], [], [], [], []
+        cache, later, plain, words, letters, latin, tailed = self._cache, [], [], [], [], [], []
         whole = plain if self._spaces else words  # a run of letters is one pre-token, so its last token alone ends a word
         known = set(new)
         for k in new:
             if k.isalpha() and (k.isascii() or k.lower().isalpha()):
-                (letters if k.isascii() else whole).append(k)
+                (letters if k.isascii() else latin if _LATIN.fullmatch(k) else whole).append(k)
             elif not _PLAIN.fullmatch(k) or k[0] == FIRST and self._spaces or not self._spaces and PARTER in k.lower():
                 later.append(k)
             elif k[-1] in self._tails and len(k) > 1 and (base := k[:-1]).isalpha() and (base.isascii() or base.lower().isalpha()):
@@ -128,10 +135,10 @@ class ChunkEncoder:
                 tailed.append((k, base, k[-1]))
                 if base not in cache and base not in known:
                     known.add(base)
-                    (letters if base.isascii() else whole).append(base)
+                    (letters if base.isascii() else latin if _LATIN.fullmatch(base) else whole).append(base)
             else:
                 plain.append(k)
-        for keys, alpha, bare in ((letters, True, True), (words, True, False), (plain, False, False)):
+        for keys, alpha, bare in ((letters, True, True), (latin, True, True), (words, True, False), (plain, False, False)):
             for i in range(0, len(keys), CALL_CHUNKS):
                 later += self._many(keys[i : i + CALL_CHUNKS], alpha, bare)
         for k in filterfalse(cache.__contains__, later):
