@@ -27,7 +27,7 @@ CACHE_CHUNKS = 1_200_000
 CALL_CHUNKS = 500
 END_ID = 2
 #: Text bytes that one call encodes together.
-GATHER_BYTES = 6 << 20
+GATHER_BYTES = 4 << 20
 #: Marks a text's first chunk, which has no space before it.
 FIRST = "\x00"
 #: A word that is one token, put between chunks where white space is dropped.
@@ -60,12 +60,9 @@ class ChunkEncoder:
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True
         # The same model without normaliser and splitting rules, for words of Latin letters, which need neither.
-        self._bare = Tokenizer.from_file(path)
+        self._bare = Tokenizer(self._tokenizer.model)
         self._bytes = {b: c for b, c in _BYTES.items() if spaces or b != 0x20}
-        if spaces:  # no merge reaches over the mark that begins a word
-            self._bare.pre_tokenizer = None
-        else:
-            self._bare.normalizer = None
+        if not spaces:  # else no merge reaches over the mark that begins a word
             self._bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self._spaces = spaces
         self._cache: dict[str, bytes] = {}
@@ -186,7 +183,9 @@ class ChunkEncoder:
         which = found.indices.to_numpy()
         each = size[which]
         ends = np.append(0, np.cumsum(each))
-        flat = ids[np.repeat((np.cumsum(size) - size)[which] - ends[:-1], each) + np.arange(ends[-1])]
+        place = np.repeat(((np.cumsum(size) - size)[which] - ends[:-1]).astype(np.int32), each)
+        place += np.arange(ends[-1], dtype=np.int32)
+        flat = ids[place]
         at = ends[cut.offsets.to_numpy()]
         if odd:
             parts, last = [], 0
