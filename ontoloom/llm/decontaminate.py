@@ -1,16 +1,19 @@
 """Benchmark decontamination by templates.
 
 Numbers, units after a number, and names (capitalised words inside a sentence)
-become typed placeholders; the other words are lower-cased.  Windows of
-WINDOW template tokens of the benchmark items (the whole item if it is shorter)
-are hash-joined with those of the documents.  A document holds an item if at
-least half of the item's windows stand in it in one alignment and the slots are
-consistent: in that alignment, equal item values answer equal document values
-and the other way round.  Equal values mean a verbatim copy, others a
+become typed placeholders; the other words are lower-cased.  Windows of tokens
+(WINDOW of them, fewer for short items, see size_of) of the benchmark items are
+hash-joined with those of the documents.  Matched windows count together if
+their shifts (place in the document less place in the item) differ by at most
+BAND, so that text may be put in, left out or resized between them.  A document
+holds an item if they cover enough of its tokens (see needed: half, with a floor
+for short items that one edited word can't break, and LONG at most), and the
+slots of matched windows are consistent: equal item values answer equal document
+values and the other way round.  Equal values mean a copy, others a
 re-parameterised one.
 
 DataFrame functions only.  Null and empty texts and items match nothing;
-windows without WORDS ordinary words are no evidence; repeated rows count once.
+windows with too few ordinary words are no evidence; repeated rows count once.
 """
 
 from __future__ import annotations
@@ -20,12 +23,16 @@ from pyspark.sql import functions as F
 
 from ontoloom.llm.common import BROADCAST_IDS, materialise, own_columns, semi, table
 
-WINDOW, WORDS, SHARE = 8, 4, 0.5
+WINDOW, SHARE = 5, 0.5
+#: Items under SHORT tokens count only as a whole.
+SHORT = 8
+#: Covered tokens that suffice however long the item is; and the floor for short items.
+LONG, FLOOR = 32, 12
+#: Shifts up to this far apart are one place of an item.
+BAND = 64
 NUMBER, UNIT, NAME = "\ue000", "\ue001", "\ue002"  # private-use characters, which texts lose first
-#: Units that follow a number.
 UNITS = "kg|g|mg|lb|lbs|oz|km|m|cm|mm|mi|ft|in|miles?|met(?:er|re)s?|inch(?:es)?|feet|foot|yards?|litres?|liters?|ml|l|hours?|hrs?|h|minutes?|mins?|seconds?|secs?|s|days?|weeks?|months?|years?|dollars?|cents?|euros?|pounds?|percent|degrees?|mph|kmh|kg|tons?"
 
-
 def marked(text: Column) -> Column:
     """The text with a marker before each number, unit and name, its words parted by one space, punctuation dropped."""
     out = F.translate(F.coalesce(text, F.lit("")), NUMBER + UNIT + NAME, "   ")
@@ -46,58 +53,95 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _windows(tokens: Column, size: Column) -> Column:
-    """Array of (pos, hash) for each window of `size` tokens with enough ordinary words (size 8 or the item's own)."""
+def size_of(n: Column) -> Column:
+    """Tokens in a window of an item of n tokens."""
+    return F.when(n < SHORT, n).when(n < 11, 3).when(n < 13, 4).otherwise(WINDOW)
+
+
+def needed(n: Column) -> Column:
+    """Tokens of an item of n that must be covered; an edited word uncovers at most size_of(n)."""
+    return F.when(n < SHORT, n).otherwise(F.least(F.lit(LONG), F.greatest(F.ceil(SHARE * n).cast("int"), F.least(n - size_of(n), F.lit(FLOOR)))))
+
+
+def _hashes(words: Column) -> Column:
+    return F.transform(F.split(words, " "), lambda t: F.xxhash64(t))
+
+
+def hashed(text: Column) -> Column:
+    """Struct of the hashes of the words (p) and of the template's tokens (t; empty if the text has no slot), which stand at the same places."""
+
+    def of_marked(m: Column) -> Column:
+        plain = F.translate(m, NUMBER + UNIT + NAME, "")
+        return F.struct(_hashes(plain).alias("p"), F.when(F.length(plain) < F.length(m), _hashes(template(m))).otherwise(F.array().cast("array<bigint>")).alias("t"))
+
+    return _let(marked(text), of_marked)
+
+
+def _windows(pair: Column, sizes: list[int]) -> Column:
+    """Array of (pos, hash, values): each window of words, and with the hashes of its words each one of the template that has a slot."""
 
-    def of_hashes(pair: Column) -> Column:
-        h, plain = pair["h"], pair["p"]
-        n = F.size(h)
+    def of_size(h: Column, size: int) -> Column:
+        p, t = h["p"], h["t"]
+        n = F.size(p)
+        none = F.array().cast("array<struct<pos:int,hash:bigint,values:array<bigint>>>")
 
-        def window(i: Column) -> Column:
-            return F.struct(i.alias("pos"), F.xxhash64(*[F.get(h, i + j) for j in range(WINDOW)]).alias("hash"), sum((F.coalesce(F.get(plain, i + j), F.lit(0)) for j in range(1, WINDOW)), F.coalesce(F.get(plain, i), F.lit(0))).alias("words"))
+        def window(of: Column, i: Column, values: Column) -> Column:
+            return F.struct(i.alias("pos"), F.xxhash64(*[F.get(of, i + j) for j in range(size)]).alias("hash"), values.alias("values"))
 
-        return F.when(n >= size, F.transform(F.sequence(F.lit(0), n - size), window)).otherwise(F.array().cast("array<struct<pos:int,hash:bigint,words:int>>"))
+        plain = F.transform(F.sequence(F.lit(0), n - size), lambda i: window(p, i, F.lit(None).cast("array<bigint>")))
+        slots = F.filter(F.sequence(F.lit(0), n - 1), lambda k: F.get(t, k) != F.get(p, k))
+        starts = F.array_distinct(F.flatten(F.transform(slots, lambda k: F.sequence(F.greatest(k - (size - 1), F.lit(0)), F.least(k, n - size)))))
+        typed = F.when(F.size(t) > 0, F.transform(starts, lambda i: window(t, i, F.slice(p, i + 1, size)))).otherwise(none)
+        return F.when(n >= size, F.concat(plain, typed)).otherwise(none)
 
-    hashed = F.struct(F.transform(tokens, lambda t: F.xxhash64(t)).alias("h"), F.transform(tokens, lambda t: F.when(t.isin(NUMBER, UNIT, NAME, ""), 0).otherwise(1)).alias("p"))
-    return F.filter(_let(hashed, of_hashes), lambda w: w["words"] >= F.least(F.lit(WORDS), size))
+    return _let(pair, lambda h: F.concat(*[of_size(h, size) for size in sizes]))
 
 
-def windows(rows: DataFrame, key: str, text: str, size: Column) -> DataFrame:
-    """key, pos, hash: one row a window."""
-    tokens = rows.select(key, F.split(template(marked(F.col(text))), " ").alias("_t"), size.alias("_size"))
-    return tokens.select(key, F.inline(_windows(F.col("_t"), F.col("_size")))).select(key, "pos", "hash")
+def _consistent(slots: Column) -> Column:
+    """Equal item values (x) answer equal document values (y) and the other way round."""
+    n = F.size(slots)
+    return (F.size(F.array_distinct(F.transform(slots, lambda s: F.struct(s["kind"], s["x"])))) == n) & (F.size(F.array_distinct(F.transform(slots, lambda s: F.struct(s["kind"], s["y"])))) == n)
 
 
 def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, item_id, n_windows (of the item), n_matched, reparameterised: one row a document and an item in it."""
     docs, items = own_columns(docs, "doc_id", "text"), own_columns(items, "item_id", "text").dropDuplicates(["item_id"])
-    items = items.where(F.length(F.trim(template(marked(F.col("text"))))) > 0).withColumn("_len", F.size(F.split(template(marked(F.col("text"))), " ")))
-    wanted = windows(items.withColumnRenamed("text", "t"), "item_id", "t", F.lit(WINDOW))
-    wanted = materialise(wanted.toDF("item_id", "q", "hash"), "windows")
-    short = items.where(F.col("_len") < WINDOW)
-    n_wanted = wanted.count()
-    hint = F.broadcast if n_wanted <= BROADCAST_IDS else (lambda x: x)
-    hits = windows(docs, "doc_id", "text", F.lit(WINDOW)).join(hint(wanted), "hash")
-    for size in sorted(r[0] for r in short.select("_len").distinct().collect()):  # under WINDOW values
-        own = windows(short.where(F.col("_len") == size), "item_id", "text", F.lit(size)).toDF("item_id", "q", "hash")
-        hits = hits.unionByName(windows(docs, "doc_id", "text", F.lit(size)).join(own, "hash"))
-        wanted = wanted.union(own)
+    tokens = F.split(marked(F.col("text")), " ")
+    kinds = F.transform(tokens, lambda x: F.when(F.substring(x, 1, 1).isin(NUMBER, UNIT, NAME), F.substring(x, 1, 1)).otherwise(""))
+    items = items.where(F.length(marked(F.col("text"))) > 0).select("item_id", hashed(F.col("text")).alias("_h"), kinds.alias("kinds"))
+    n = F.size("kinds")
+    items = materialise(items.select("item_id", "_h", F.col("_h.p").alias("words"), "kinds", size_of(n).alias("size"), needed(n).alias("need"), (n - size_of(n) + 1).alias("n_windows")), "items")
+    sizes = sorted(r[0] for r in items.select("size").distinct().collect())  # under 8 values
+    wanted = None
+    for size in sizes:
+        own = items.where(F.col("size") == size).select("item_id", "size", "kinds", F.inline(_windows(F.col("_h"), [size])))
+        wanted = own if wanted is None else wanted.unionByName(own)
+    if wanted is None:
+        return docs.sparkSession.createDataFrame([], docs.select("doc_id").schema.add("item_id", items.schema["item_id"].dataType).add("n_windows", "int").add("n_matched", "int").add("reparameterised", "boolean"))
+    ordinary = F.size(F.filter(F.slice("kinds", F.col("pos") + 1, F.col("size")), lambda k: k == ""))
+    enough = F.when(F.col("size") < WINDOW, ordinary >= F.least(F.col("size"), F.lit(4))).otherwise(2 * ordinary >= F.col("size"))
+    wanted = wanted.where(F.when(F.col("values").isNull(), ordinary == F.col("size")).otherwise(enough))
+    wanted = materialise(wanted.select("item_id", F.col("pos").alias("q"), "size", "hash"), "windows")
+    hint = F.broadcast if wanted.count() <= BROADCAST_IDS else (lambda x: x)
+    hits = docs.select("doc_id", F.inline(_windows(hashed(F.col("text")), sizes))).join(hint(wanted), "hash")
+    hits = hits.select("doc_id", "item_id", (F.col("pos") - F.col("q")).alias("shift"), "q", "values").repartition("doc_id", "item_id")
     # A window that stands many times in one document is one match of its alignment.
-    aligned = hits.groupBy("doc_id", "item_id", (F.col("pos") - F.col("q")).alias("shift")).agg(F.count_distinct("q").alias("n_matched"))
-    total = wanted.groupBy("item_id").agg(F.count_distinct("q").alias("n_windows"))
-    likely = aligned.join(hint(total), "item_id").where(F.col("n_matched") >= SHARE * F.col("n_windows"))
-    likely = materialise(likely, "likely")
-    ids = materialise(likely.select("doc_id").distinct(), "ids")
-    texts = semi(docs, ids, "doc_id", ids.count()).select("doc_id", F.split(marked(F.col("text")), " ").alias("d")).dropDuplicates(["doc_id"])
-    pairs = likely.join(texts, "doc_id").join(hint(items.select("item_id", F.split(marked(F.col("text")), " ").alias("b"))), "item_id")
-    # Aligned values of the slots, where both have a slot of the same type.
-    lined = F.transform(F.col("b"), lambda x, i: F.struct(x.alias("x"), F.when(i + F.col("shift") >= 0, F.get(F.col("d"), i + F.col("shift"))).alias("y")))
-    slots = F.array_distinct(F.filter(lined, lambda s: s["y"].isNotNull() & F.substring(s["x"], 1, 1).isin(NUMBER, UNIT, NAME) & (F.substring(s["x"], 1, 1) == F.substring(s["y"], 1, 1))))
-    pairs = pairs.withColumn("_s", slots)
-    n = F.size("_s")
-    consistent = (F.size(F.array_distinct(F.transform("_s", lambda s: s["x"]))) == n) & (F.size(F.array_distinct(F.transform("_s", lambda s: s["y"]))) == n)
-    changed = F.exists("_s", lambda s: s["x"] != s["y"])
-    found = pairs.where(consistent).groupBy("doc_id", "item_id").agg(F.max("n_windows").alias("n_windows"), F.max("n_matched").alias("n_matched"), F.min(changed.cast("int")).alias("_c"))
+    typed = F.when(F.col("values").isNotNull(), F.struct("q", "values"))
+    aligned = hits.groupBy("doc_id", "item_id", "shift").agg(F.collect_set("q").alias("qs"), F.collect_set(typed).alias("ts"))
+    aligned = aligned.join(hint(items.drop("_h")), "item_id")
+    # Aligned values of the slots of matched windows.
+    lined = F.flatten(F.transform("ts", lambda w: F.transform(w["values"], lambda y, j: F.struct(F.get(F.col("kinds"), w["q"] + j).alias("kind"), F.get(F.col("words"), w["q"] + j).alias("x"), y.alias("y")))))
+    slots = F.array_distinct(F.filter(lined, lambda s: s["kind"] != ""))
+    aligned = aligned.select("doc_id", "item_id", "size", "need", "n_windows", "qs", "shift", slots.alias("slots")).where(_consistent(F.col("slots")))
+    # Places: each shift alone, and overlapping bands of shifts, two of which hold it.
+    band = F.floor(F.col("shift") / BAND).cast("long")
+    places = F.array(*[F.struct(F.lit(kind).alias("kind"), at.alias("at")) for kind, at in (("shift", F.col("shift").cast("long")), ("band", band), ("band", band - 1))])
+    placed = aligned.select("doc_id", "item_id", "size", "need", "n_windows", "qs", "slots", F.explode(places).alias("place"))
+    merged = placed.groupBy("doc_id", "item_id", "place").agg(*[F.first(c).alias(c) for c in ("size", "need", "n_windows")], F.array_distinct(F.flatten(F.collect_list("qs"))).alias("qs"), F.array_distinct(F.flatten(F.collect_list("slots"))).alias("slots"))
+    covered = F.size(F.array_distinct(F.flatten(F.transform("qs", lambda q: F.sequence(q, q + F.col("size") - 1)))))
+    found = merged.where((covered >= F.col("need")) & _consistent(F.col("slots")))
+    changed = F.exists("slots", lambda s: s["x"] != s["y"])
+    found = found.groupBy("doc_id", "item_id").agg(F.max("n_windows").alias("n_windows"), F.max(F.size("qs")).alias("n_matched"), F.min(changed.cast("int")).alias("_c"))
     return found.select("doc_id", "item_id", "n_windows", "n_matched", (F.col("_c") == 1).alias("reparameterised"))
 
 
