@@ -12,8 +12,12 @@ slots of matched windows are consistent: equal item values answer equal document
 values and the other way round.  Equal values mean a copy, others a
 re-parameterised one.
 
+Each window also counts by its plain lower-cased words, so that a verbatim copy
+is found whatever its slots are; the template of a window with too few ordinary
+words is no evidence.
+
 DataFrame functions only.  Null and empty texts and items match nothing;
-windows with too few ordinary words are no evidence; repeated rows count once.
+repeated rows count once.
 """
 
 from __future__ import annotations
@@ -120,7 +124,7 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
         return docs.sparkSession.createDataFrame([], docs.select("doc_id").schema.add("item_id", items.schema["item_id"].dataType).add("n_windows", "int").add("n_matched", "int").add("reparameterised", "boolean"))
     ordinary = F.size(F.filter(F.slice("kinds", F.col("pos") + 1, F.col("size")), lambda k: k == ""))
     enough = F.when(F.col("size") < WINDOW, ordinary >= F.least(F.col("size"), F.lit(4))).otherwise(2 * ordinary >= F.col("size"))
-    wanted = wanted.where(F.when(F.col("values").isNull(), ordinary == F.col("size")).otherwise(enough))
+    wanted = wanted.where(F.col("values").isNull() | enough)
     wanted = materialise(wanted.select("item_id", F.col("pos").alias("q"), "size", "hash"), "windows")
     hint = F.broadcast if wanted.count() <= BROADCAST_IDS else (lambda x: x)
     hits = docs.select("doc_id", F.inline(_windows(hashed(F.col("text")), sizes))).join(hint(wanted), "hash")

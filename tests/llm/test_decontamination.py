@@ -31,3 +31,9 @@ def test_resized_slots_short_items_and_quotes(spark):
     ]
     texts = [items[0].replace("Tom", "Mary Ann").replace("5", "5 km").replace("12", "twelve"), items[1].replace("brown", "black"), " ".join(items[2].split()[40:80]), " ".join(items[2].split()[40:55])]
     assert set(found(spark, texts, items)) == {(0, 0), (1, 1), (2, 2)}
+
+
+def test_verbatim_copies_poor_in_words(spark):
+    items = ["What is 12 + 35 * 7?", "3 14 15 92 65 35 89 79 32 38 46 26", "the Great, Northern Express Railway Company, Limited Of Upper Canada, Ontario Division"]
+    assert set(found(spark, items, items)) == {(i, i) for i in range(3)}
+    assert found(spark, ["What is 11 + 34 * 6?", "4 15 16 93 66 36 90 80 33 39 47 27"], items) == {}
