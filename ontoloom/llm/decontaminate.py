@@ -9,8 +9,8 @@ BAND, so that text may be put in, left out or resized between them.  A document
 holds an item if they cover enough of its tokens (see needed: half, with a floor
 for short items that one edited word can't break, and LONG at most), and the
 slots of matched windows are consistent: equal item values answer equal document
-values and the other way round.  Equal values mean a copy, others a
-re-parameterised one.
+values, and among names the other way round too (two numbers may become equal).
+Equal values mean a copy, others a re-parameterised one.
 
 Each window also counts by its plain lower-cased words, so that a verbatim copy
 is found whatever its slots are; the template of a window with too few ordinary
@@ -102,9 +102,12 @@ def _windows(pair: Column, sizes: list[int]) -> Column:
 
 
 def _consistent(slots: Column) -> Column:
-    """Equal item values (x) answer equal document values (y) and the other way round."""
-    n = F.size(slots)
-    return (F.size(F.array_distinct(F.transform(slots, lambda s: F.struct(s["kind"], s["x"])))) == n) & (F.size(F.array_distinct(F.transform(slots, lambda s: F.struct(s["kind"], s["y"])))) == n)
+    """Equal item values (x) answer equal document values (y), and among names the other way round too."""
+
+    def repeats(side: str, of: Column) -> Column:
+        return F.size(F.array_distinct(F.transform(of, lambda s: F.struct(s["kind"], s[side])))) < F.size(of)
+
+    return ~repeats("x", slots) & ~repeats("y", F.filter(slots, lambda s: s["kind"] == NAME))
 
 
 def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:

@@ -37,3 +37,16 @@ def test_verbatim_copies_poor_in_words(spark):
     items = ["What is 12 + 35 * 7?", "3 14 15 92 65 35 89 79 32 38 46 26", "the Great, Northern Express Railway Company, Limited Of Upper Canada, Ontario Division"]
     assert set(found(spark, items, items)) == {(i, i) for i in range(3)}
     assert found(spark, ["What is 11 + 34 * 6?", "4 15 16 93 66 36 90 80 33 39 47 27"], items) == {}
+
+
+def test_numbers_may_become_equal(spark):
+    item = "A farmer has 3 apples and 5 pears in a basket and then gives every one of them away. How many are left?"
+    same = item.replace("3", "4").replace("5", "4")
+    twice = "Every day 3 boys and 3 girls walk over the old bridge to the school behind the wood."
+    assert found(spark, [same, twice.replace("3 boys", "4 boys").replace("3 girls", "6 girls"), twice.replace("3", "4")], [item, twice]) == {(0, 0): True, (2, 1): True}
+
+
+def test_slots_outside_the_quote_have_no_veto(spark):
+    item = "A farmer has 3 apples and 5 pears in a basket by the door and then gives every one of them away to people who pass by with 3 dogs"
+    quote = item.replace("3 apples", "4 apples").rpartition(" people")[0]
+    assert found(spark, [f"{quote} men of the town with 9 dogs"], [item]) == {(0, 0): True}
