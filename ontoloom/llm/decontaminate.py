@@ -1,7 +1,8 @@
 """Benchmark decontamination by templates.
 
 Numbers, units after a number, and names (capitalised words inside a sentence)
-become typed placeholders; the other words are lower-cased.  Windows of tokens
+become typed placeholders, after white space is made one blank; the other words
+are lower-cased.  Windows of tokens
 (WINDOW of them, fewer for short items, see size_of) of the benchmark items are
 hash-joined with those of the documents.  Matched windows count together if
 their shifts (place in the document less place in the item) differ by at most
@@ -28,6 +29,8 @@ from pyspark.sql import functions as F
 from ontoloom.llm.common import BROADCAST_IDS, materialise, own_columns, semi, table
 
 WINDOW, SHARE = 5, 0.5
+#: White space other than the blank.
+SPACES = "\t\n\v\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Items under SHORT tokens count only as a whole.
 SHORT = 8
 #: Covered tokens that suffice however long the item is; and the floor for short items.
@@ -39,7 +42,8 @@ UNITS = "kg|g|mg|lb|lbs|oz|km|m|cm|mm|mi|ft|in|miles?|met(?:er|re)s?|inch(?:es)?
 
 def marked(text: Column) -> Column:
     """The text with a marker before each number, unit and name, its words parted by one space, punctuation dropped."""
-    out = F.translate(F.coalesce(text, F.lit("")), NUMBER + UNIT + NAME, "   ")
+    blank = NUMBER + UNIT + NAME + SPACES
+    out = F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), blank, " " * len(blank)), "  +", " ")
     out = F.regexp_replace(out, r"(?<=[\p{L}\p{N},;] )(\p{Lu}\p{Ll}+)", NAME + "$1")
     out = F.regexp_replace(out, r"(?<![\p{L}\p{N}])(\d+(?:[.,:/]\d+)*)", NUMBER + "$1")
     out = F.regexp_replace(out, rf"({NUMBER}\d+(?:[.,:/]\d+)*) ?({UNITS})(?![\p{{L}}\p{{N}}])", "$1 " + UNIT + "$2")

@@ -50,3 +50,13 @@ def test_slots_outside_the_quote_have_no_veto(spark):
     item = "A farmer has 3 apples and 5 pears in a basket by the door and then gives every one of them away to people who pass by with 3 dogs"
     quote = item.replace("3 apples", "4 apples").rpartition(" people")[0]
     assert found(spark, [f"{quote} men of the town with 9 dogs"], [item]) == {(0, 0): True}
+
+
+def test_case_and_wrapping(spark):
+    item = "the town where Anna met Bert, who knew Carl and Dora, from Essen or Fulda, with Gina and Hans, all of them old, went to Italy"
+    lines = item.replace(" Anna", "\nAnna").replace(" Carl", "  Carl").replace(" Essen", "\u00a0Essen").replace(" Gina", "\r\n\tGina")
+    other = {"Anna": "Ida", "Bert": "Jan", "Carl": "Kai", "Dora": "Lea", "Essen": "Mainz", "Fulda": "Neuss", "Gina": "Olga", "Hans": "Paul", "Italy": "Spain"}
+    renamed = item
+    for n, (a, b) in enumerate(other.items()):
+        renamed = renamed.replace(f" {a}", ("\n", "  ", "\u00a0", "\r\n\t")[n % 4] + b)
+    assert found(spark, [item.lower(), item.upper(), lines, renamed], [item]) == {(0, 0): False, (1, 0): False, (2, 0): False, (3, 0): True}
