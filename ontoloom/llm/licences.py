@@ -1,10 +1,12 @@
 """Licence scans by sentence rules.
 
-A text is cut into sentences, which are normalised (lower case, letters and
-digits only, one space between words) and mapped to the ids of known licence
-sentences.  The ids of a document, in order, are matched against the licence
-rules: a rule holds if its sentences occur in its order (others may stand
-between), and a rule whose occurrence contains another rule's wins over it.
+A text is cut into sentences at . ! ? and at blank lines (single line ends and
+comment prefixes are white space), which are normalised (lower case, letters and
+digits only, one space between words, "license" also where "licence" is written).
+Known licence sentences that stand in them as runs of whole words give ids.  The
+ids of a document, in order, are matched against the licence rules: a rule holds
+if its sentences occur in its order (others may stand between), and a rule whose
+occurrence contains another rule's wins over it.
 
 Every known sentence holds a word of KEYWORDS, so texts without any of them are
 skipped without loss.  Null and empty texts have no licence; very long texts
@@ -73,19 +75,38 @@ RULES = [
     ("Proprietary", "restricted", ["reserved"]),
 ]
 KEYWORDS = ("licen", "copyright", "permi", "warrant", "redistribut", "domain", "right", "cc by", "cc0")
-#: A sentence ends at a line's end, or at . ! ? ; : before white space or the end.
-_END = r"[.!?;:]+(?=\s|$)|\n"
+#: As SENTENCES and RULES, but not part of OP5_SQL.
+MORE_SENTENCES = {
+    "gpl2-free": ["this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version"],
+    "agpl3-free": ["this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version"],
+    "agpl3-name": ["gnu affero general public license version 3"],
+}
+MORE_RULES = [
+    ("GPL-2.0", "copyleft", ["gpl2-free"]),
+    ("AGPL-3.0", "copyleft", ["agpl3-free"]),
+    ("AGPL-3.0", "copyleft", ["agpl3-name"]),
+]
+#: What stands before the text of a comment's line.
+_PREFIX = r"(?m)^[ \t]*(?:(?://+|/\*+|\*+/?|#+|;+|--+|<!--+|%+|>+|(?:dnl|rem)(?=\s))[ \t]*)+"
+#: A sentence ends at . ! ? before white space or the end (but not in "v. 2.0"), or at a blank line, unless a link follows.
+_END = r"(?<!\bv)[.!?]+(?=\s|$)|\n\s*\n(?!\s*<?https?:)"
 
 
 def licence_sentences(docs: DataFrame) -> DataFrame:
-    """doc_id, pos, sid: the known sentences of each document, in order."""
+    """doc_id, pos, at, sid: the known sentences of each document, in order of the sentence they stand in and their place there."""
     spark = docs.sparkSession
-    known = spark.createDataFrame([(s, i) for i, all_of in SENTENCES.items() for s in all_of], "sentence string, sid string")  # a fixed table
-    text = F.lower(F.regexp_replace("text", r"(?i)\bcc[- ]?by\b", "cc by"))
+    known = [(s, i) for i, all_of in (SENTENCES | MORE_SENTENCES).items() for s in all_of]
+    text = F.lower(F.regexp_replace("text", r"(?i)\bcc[-\s]?by\b", "cc by"))
     likely = docs.where(text.rlike("|".join(KEYWORDS)))
-    cut = likely.select("doc_id", F.posexplode(F.split(F.lower("text"), _END, -1)).alias("pos", "s"))
-    cut = cut.where(F.length("s") >= 5).select("doc_id", "pos", F.trim(F.regexp_replace("s", "[^a-z0-9]+", " ")).alias("sentence"))
-    return cut.join(F.broadcast(known), "sentence").select("doc_id", "pos", "sid")
+    lines = F.regexp_replace(F.regexp_replace(F.lower("text"), r"\r\n?", "\n"), _PREFIX, "")
+    cut = likely.select("doc_id", F.posexplode(F.split(lines, _END, -1)).alias("pos", "s"))
+    words = F.regexp_replace(F.regexp_replace("s", "[^a-z0-9]+", " "), "licence", "license")
+    words = F.concat(F.lit(" "), F.trim(F.regexp_replace(words, "\\bhttps www apache", "http www apache")), F.lit(" "))
+    cut = cut.select("doc_id", "pos", words.alias("words")).where(F.col("words").rlike("|".join(KEYWORDS)))
+    # The longest known sentence at each word; the look-ahead finds overlapping ones too.
+    run = "(?<= )(?=(" + "|".join(sorted((s for s, _ in known), key=len, reverse=True)) + ") )"
+    cut = cut.select("doc_id", "pos", F.posexplode(F.regexp_extract_all("words", F.lit(run), 1)).alias("at", "sentence"))
+    return cut.join(F.broadcast(spark.createDataFrame(known, "sentence string, sid string")), "sentence").select("doc_id", "pos", "at", "sid")  # a fixed table
 
 
 def _first(sid: str) -> Column:
@@ -95,13 +116,14 @@ def _first(sid: str) -> Column:
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, licence, licence_class, first_sentence: one row a document and a licence it names."""
     found = licence_sentences(own_columns(docs, "doc_id", "text"))
-    by_doc = found.groupBy("doc_id").agg(F.collect_set(F.struct("pos", "sid")).alias("s"))
+    by_doc = found.groupBy("doc_id").agg(F.collect_set(F.struct("pos", "at", "sid")).alias("s"))
     ordered = by_doc.select("doc_id", F.array_sort("s").alias("s"))
     ordered = ordered.select("doc_id", "s", F.concat(F.lit(" "), F.array_join(F.transform("s", lambda x: x["sid"]), " "), F.lit(" ")).alias("ids"))
     matches = []
-    for number, (licence, kind, ids) in enumerate(RULES):
+    rules = RULES + MORE_RULES
+    for number, (licence, kind, ids) in enumerate(rules):
         held = F.col("ids").rlike(" " + " (?:.* )?".join(ids) + " ")
-        wins = [k for k in range(number) if set(ids) < set(RULES[k][2])]
+        wins = [k for k in range(number) if set(ids) < set(rules[k][2])]
         first = _first(ids[0])
         row = F.struct(F.lit(licence).alias("licence"), F.lit(kind).alias("licence_class"), first.cast("long").alias("first_sentence"), F.lit(number).alias("rule"), F.array(*map(F.lit, wins)).cast("array<int>").alias("under"))
         matches.append(F.when(held, row))
