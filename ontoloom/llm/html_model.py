@@ -7,8 +7,9 @@ exactly.  Text stands in the output if the marginal of the block that holds it
 reaches one half.  All potentials are counted on labelled pages, which
 training_pages() writes from page layouts with known content.
 
-Whole pages are read: scripts, styles and the like are skipped as raw text,
-unclosed and misnested tags are tolerated.  Null, empty and tagless input has
+Whole pages are read: scripts, styles, titles, text areas and frames are skipped
+as raw text, and the text in drop-down lists, drawings, templates, noscript and
+formula annotations, which browsers don't show as text, is left out; unclosed and misnested tags are tolerated.  Null, empty and tagless input has
 a defined result (empty text; text without tags is one block).  Repeated rows
 get one result each.
 """
@@ -28,8 +29,11 @@ from ontoloom.llm.common import small_batches, table
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"\b(?:class|id|role|aria-label|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_RAW = frozenset("script style noscript template textarea iframe title svg math select object".split())
-_RAW_END = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in _RAW}
+_RAW = frozenset("script style textarea iframe title".split())
+#: Elements whose text is left out; a block in those of the second set shows that the end tag is missing.
+_HIDDEN = frozenset("noscript template svg select annotation annotation-xml".split())
+_BROKEN = frozenset("svg select".split())
+_END_TAG = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in _RAW | _HIDDEN}
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset(
     "html head body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption button".split()
@@ -75,6 +79,13 @@ def parse(page: str | None) -> tuple[list[Node], list[tuple[int, str]]]:
     stack: list[tuple[str, int]] = [("root", 0)]  # open elements with the node that holds their text
     buffer: list[str] = []
     link = 0
+    hidden: list[str] = []  # the open element of _HIDDEN with those of its kind in it, and foreign objects
+    last: dict[str, int] = {}
+
+    def ends_after(tag: str, at: int) -> bool:
+        if tag not in last:
+            last[tag] = max((m.start() for m in _END_TAG[tag].finditer(page)), default=-1)
+        return last[tag] >= at
 
     def flush() -> None:
         if buffer:
@@ -84,7 +95,7 @@ def parse(page: str | None) -> tuple[list[Node], list[tuple[int, str]]]:
             buffer.clear()
 
     def add_text(raw: str) -> None:
-        if raw:
+        if raw and not hidden:
             buffer.append(raw)
             node, n = nodes[stack[-1][1]], len(raw.strip())
             if n:
@@ -107,6 +118,29 @@ def parse(page: str | None) -> tuple[list[Node], list[tuple[int, str]]]:
         if m[2] is None:
             continue
         tag, ends = m[2].lower(), bool(m[1])
+        closed = m[3].rstrip().endswith("/")
+        if tag in _RAW and not ends and not (closed and hidden):
+            end = _END_TAG[tag].search(page, at) if ends_after(tag, at) else None
+            if end:
+                at = end.end()
+            elif tag in ("script", "style"):  # the rest is code, as in browsers
+                at = len(page)
+            if tag == "textarea" and not hidden:
+                nodes[stack[-1][1]].controls += 1
+            continue
+        if hidden:
+            if ends and tag in hidden:
+                while hidden.pop() != tag:
+                    pass
+                continue
+            again = tag == hidden[0] == "select" and not ends
+            if not again:
+                broken = hidden[0] in _BROKEN and "foreignobject" not in hidden and tag in _BLOCK and not (ends and all(t != tag for t, _ in stack))
+                if not broken:
+                    if not ends and not closed and tag in (hidden[0], "foreignobject"):
+                        hidden.append(tag)
+                    continue
+            hidden.clear()
         if ends:
             depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0)
             if depth:
@@ -114,11 +148,11 @@ def parse(page: str | None) -> tuple[list[Node], list[tuple[int, str]]]:
             elif tag in _BLOCK:
                 flush()
             continue
-        if tag in _RAW:
-            end = _RAW_END[tag].search(page, at)
-            at = end.end() if end else len(page)
-            if tag in ("textarea", "select"):
+        if tag in _HIDDEN:
+            if tag == "select":
                 nodes[stack[-1][1]].controls += 1
+            if not (closed and tag == "svg") and ends_after(tag, at):
+                hidden.append(tag)
             continue
         if tag in ("input", "button"):
             nodes[stack[-1][1]].controls += 1
@@ -142,7 +176,7 @@ def parse(page: str | None) -> tuple[list[Node], list[tuple[int, str]]]:
                     break
                 if stack[i][0] in _SCOPE:
                     break
-        if m[3].rstrip().endswith("/") and tag not in _BLOCK:
+        if closed and tag not in _BLOCK:
             continue
         if tag in _BLOCK:
             flush()
