@@ -120,24 +120,24 @@ def sufficiency(statistics: DataFrame) -> DataFrame:
 
 
 def search(query: DataFrame, targets: DataFrame, marks: DataFrame, up: DataFrame, min_simj_percent: int = 0, min_max_ic: float = 0.0) -> DataFrame:
-    """Ranked matches of one element (query) among targets (both: element): a, b, simj, max_ic, bma, combined, rank (from 0).
+    """Ranked matches of each element of query among targets (both: element): a, b, simj, max_ic, bma, combined, rank (from 0).
 
     Cut-offs: Jaccard in whole per cent, at least; best common IC, above.
     combined is the mean, in whole numbers, of max_ic and bma as whole per cent
-    of the best value, the query's match with itself included.  Ties go by id.
+    of the query's best value, its match with itself included.  Ties go by id.
     """
     from pyspark.sql import Window
 
     full = inferred(marks, up)
     ic = information_content(full)
-    one = F.broadcast(query.select(F.col("element").alias("a")).distinct().limit(1))  # one row
-    pairs = one.crossJoin(targets.select(F.col("element").alias("b")).distinct().union(query.select("element").distinct()).distinct())
+    queries = query.select(F.col("element").alias("a")).distinct()
+    pairs = queries.crossJoin(targets.select(F.col("element").alias("b")).distinct()).union(queries.select("a", F.col("a").alias("b"))).distinct()
     scored = pair_scores(pairs, full, ic).where((F.floor(100 * F.col("simj") + 1e-9) >= min_simj_percent) & (F.col("max_ic") > min_max_ic))
     best = best_match_average(scored.select("a", "b"), marks, up, ic).select("a", "b", "bma")
     out = scored.join(best, ["a", "b"])
-    tops = out.agg(F.max("max_ic").alias("_ic"), F.max("bma").alias("_bma"))
+    tops = out.groupBy("a").agg(F.max("max_ic").alias("_ic"), F.max("bma").alias("_bma"))
     percent = lambda x, y: F.when(F.col(y) > 0, F.floor(100 * F.col(x) / F.col(y) + 1e-9)).otherwise(0)
-    out = out.join(F.broadcast(tops)).withColumn("combined", F.floor((percent("max_ic", "_ic") + percent("bma", "_bma")) / 2).cast("long"))
+    out = out.join(tops, "a").withColumn("combined", F.floor((percent("max_ic", "_ic") + percent("bma", "_bma")) / 2).cast("long"))
     rank = (F.row_number().over(Window.partitionBy("a").orderBy(F.desc("combined"), "b")) - 1).cast("long")
     return out.where("a <> b").withColumn("rank", rank).select("a", "b", "simj", "max_ic", "bma", "combined", "rank")
 
