@@ -128,7 +128,7 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
         own = items.where(F.col("size") == size).select("item_id", "size", "kinds", F.inline(_windows(F.col("_h"), [size])))
         wanted = own if wanted is None else wanted.unionByName(own)
     if wanted is None:
-        return docs.sparkSession.createDataFrame([], docs.select("doc_id").schema.add("item_id", items.schema["item_id"].dataType).add("n_windows", "int").add("n_matched", "int").add("reparameterised", "boolean"))
+        return docs.sparkSession.createDataFrame([], docs.select("doc_id").schema.add("item_id", items.schema["item_id"].dataType).add("n_windows", "integer").add("n_matched", "integer").add("reparameterised", "boolean"))
     ordinary = F.size(F.filter(F.slice("kinds", F.col("pos") + 1, F.col("size")), lambda k: k == ""))
     enough = F.when(F.col("size") < WINDOW, ordinary >= F.least(F.col("size"), F.lit(4))).otherwise(2 * ordinary >= F.col("size"))
     wanted = wanted.where(F.col("values").isNull() | enough)

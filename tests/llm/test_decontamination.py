@@ -60,3 +60,7 @@ def test_case_and_wrapping(spark):
     for n, (a, b) in enumerate(other.items()):
         renamed = renamed.replace(f" {a}", ("\n", "  ", "\u00a0", "\r\n\t")[n % 4] + b)
     assert found(spark, [item.lower(), item.upper(), lines, renamed], [item]) == {(0, 0): False, (1, 0): False, (2, 0): False, (3, 0): True}
+
+
+def test_no_items(spark):
+    assert found(spark, ["any text"], [None]) == {}
