@@ -1,12 +1,15 @@
-"""Shared helpers: tables, intermediate tables in the cluster's shared folder, word rules."""
+"""Shared helpers: tables, intermediate tables in the cluster's shared folder, caches of Python workers, word rules."""
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ontoloom.plans.session import ship_package
@@ -57,23 +60,68 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, label)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._ontoloom_path = path
+    return found
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(table: DataFrame) -> None:
+    """Delete the files of a materialised table that nothing reads any more, such as the last round of an iteration."""
+    _delete(table.sparkSession, table._ontoloom_path)
+    _made.remove(table._ontoloom_path)
 
 
 def cleanup(spark: SparkSession) -> None:
-    """Delete the intermediate tables that this process made."""
-    jvm = spark.sparkContext._jvm
+    """Delete the intermediate tables that this process made; results that still read them must be written first."""
     for path in _made:
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        _delete(spark, path)
     _made.clear()
 
 
+_owner: list[tuple[str, Callable[[], None]]] = []
+
+
+def claim(kind: str, clear: Callable[[], None]) -> None:
+    """Called in Python workers by a stage that keeps a cache: the one of another kind is emptied, so that a worker, which Spark uses again for later stages, holds one at a time."""
+    if _owner and _owner[0][0] == kind:
+        return
+    if _owner:
+        _owner.pop()[1]()
+        release_memory()
+    _owner.append((kind, clear))
+
+
+def release_memory() -> None:
+    """Give freed memory of this process back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def semi(df: DataFrame, ids: DataFrame, key: str, n_ids: int, how: str = "left_semi") -> DataFrame:
     """Keep (or with left_anti drop) the rows of df whose key is in ids; broadcast only behind the check of n_ids."""
     return df.join(F.broadcast(ids) if n_ids <= BROADCAST_IDS else ids, key, how)
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once a row, also where lambdas use it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """name, lengthened until no column of df has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def own_columns(df: DataFrame, *needed: str) -> DataFrame:
     """Only the columns that an operator needs, so that extra ones can't clash with its own."""
     return df.select(*[F.col(f"`{c}`") for c in needed])
