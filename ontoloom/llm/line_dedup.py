@@ -8,7 +8,10 @@ occurrence (smallest doc_id, then position) stays, every other one goes.
 
 DataFrame functions only.  Null texts stay null with no lines; blank lines are
 never removed; rows without site count for no site; rows without doc_id keep
-their lines.  Repeated rows are one occurrence.  Extra columns stay as they are.
+their lines.  A row is known by its doc_id and text: repeated rows are one
+occurrence, rows that share a doc_id alone are cut each by its own lines.  Extra
+columns stay as they are, whatever their names, but n_lines and n_removed are
+replaced.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ontoloom.llm.common import BROADCAST_IDS, materialise, own_columns, table
+from ontoloom.llm.common import BROADCAST_IDS, let, materialise, own_columns, table, unused
 
 MIN_SITES = 10
 #: Sketches of 2 ** LG_K registers err by about 1.04 / sqrt(2 ** LG_K) (7 %); BAND is over four times that.
@@ -28,16 +31,16 @@ def _lines(text: Column) -> Column:
 
 
 def line_keys(docs: DataFrame, text: str = "text", site: str = "source") -> DataFrame:
-    """One row a line with a word: doc_id, site, pos, h1, h2."""
-    lines = docs.select("doc_id", F.col(site).alias("site"), F.posexplode(_lines(F.col(text))).alias("pos", "_line"))
-    lines = lines.select("doc_id", "site", "pos", F.trim("_line").alias("_line")).where("_line != ''")
-    return lines.select("doc_id", "site", "pos", F.xxhash64("_line").alias("h1"), F.xxhash64(F.lit("second"), "_line").alias("h2"))
+    """One row a line with a word: doc_id, t (the text's hash), site, pos, h1, h2."""
+    lines = docs.select("doc_id", F.xxhash64(text).alias("t"), F.col(site).alias("site"), F.posexplode(_lines(F.col(text))).alias("pos", "_line"))
+    lines = lines.select("doc_id", "t", "site", "pos", F.trim("_line").alias("_line")).where("_line != ''")
+    return lines.select("doc_id", "t", "site", "pos", F.xxhash64("_line").alias("h1"), F.xxhash64(F.lit("second"), "_line").alias("h2"))
 
 
 def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
-    """h1, h2 of the lines on at least min_sites sites, with their first occurrence (doc, pos)."""
+    """h1, h2 of the lines on at least min_sites sites, with their first occurrence (doc_id, pos, t)."""
     keys = line_keys(docs)
-    first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "pos"))).alias("first")
+    first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "pos", "t"))).alias("first")
     sketched = keys.groupBy("h1", "h2").agg(F.hll_sketch_agg("site", LG_K).alias("_sites"), F.count(F.lit(1)).alias("n"), first)
     # A line can't be on more sites than it has occurrences.
     near = F.hll_sketch_estimate("_sites")
@@ -51,33 +54,47 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
 
 
 def removed_positions(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
-    """doc_id and the positions of its lines that go."""
+    """doc_id, t and the positions of the row's lines that go, in order."""
     lines = boilerplate(docs, min_sites)
     small = lines.count() <= BROADCAST_IDS
     hit = line_keys(docs).where("doc_id is not null").join(F.broadcast(lines) if small else lines, ["h1", "h2"])
-    hit = hit.where(~((F.col("doc_id") == F.col("first.doc_id")) & (F.col("pos") == F.col("first.pos"))))
-    return hit.groupBy("doc_id").agg(F.array_sort(F.collect_set("pos")).alias("_gone"))
+    hit = hit.where(~(F.struct("doc_id", "pos", "t") == F.col("first")))
+    return hit.groupBy("doc_id", "t").agg(F.array_sort(F.collect_set("pos")).alias("gone"))
+
+
+def _cut(text: Column, gone: Column) -> Column:
+    """The text without the lines at the positions gone (ascending): the runs of lines between them."""
+
+    def runs(x: Column) -> Column:
+        lines, at = x["lines"], x["at"]
+        begin = lambda j: F.when(j == 0, 0).otherwise(F.get(at, j - 1) + 1)
+        end = lambda j: F.coalesce(F.get(at, j), F.size(lines))
+        return F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), F.size(at)), lambda j: F.slice(lines, begin(j) + 1, end(j) - begin(j)))), "\n")
+
+    return let(F.struct(_lines(text).alias("lines"), gone.alias("at")), runs)
 
 
 def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """docs with boilerplate lines cut out of text, plus n_lines and n_removed."""
     gone = removed_positions(own_columns(docs, "doc_id", "text", "source"), min_sites)
-    out = docs.join(gone, "doc_id", "left")
-    at = F.coalesce("_gone", F.array().cast("array<int>"))
-    kept = F.filter(F.transform(_lines(F.col("text")), lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: ~F.array_contains(at, s["i"]))
-    text = F.when(F.size(at) == 0, F.col("text")).otherwise(F.array_join(F.transform(kept, lambda s: s["x"]), "\n"))
+    d, t, at = (unused(docs, x) for x in ("_d", "_t", "_gone"))
+    gone = gone.select(F.col("doc_id").alias(d), F.col("t").alias(t), F.col("gone").alias(at))
+    out = docs.join(gone, (F.col("doc_id") == F.col(d)) & (F.xxhash64("text") == F.col(t)), "left")
+    text = F.when(F.col(at).isNull(), F.col("text")).otherwise(_cut(F.col("text"), F.col(at)))
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(_lines(F.col("text")))).cast("long")
-    names = [F.col(f"`{c}`") if c != "text" else text.alias("text") for c in docs.columns]
-    return out.select(*names, n_lines.alias("n_lines"), F.size(at).cast("long").alias("n_removed"))
+    names = [F.col(f"`{c}`") if c != "text" else text.alias("text") for c in docs.columns if c not in ("n_lines", "n_removed")]
+    return out.select(*names, n_lines.alias("n_lines"), F.when(F.col(at).isNull(), 0).otherwise(F.size(at)).cast("long").alias("n_removed"))
 
 
 def without_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """docs, same columns, without boilerplate lines; documents that lose every word go, n_chars is counted anew."""
-    cut = dedup_lines(docs, min_sites)
+    names = {c: f"c{i}" if c not in ("doc_id", "text", "source") else c for i, c in enumerate(docs.columns)}  # no name of docs is replaced
+    cut = dedup_lines(docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), min_sites)
     cut = cut.where((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return cut.select(*[F.col(f"`{c}`") for c in docs.columns])
+    if "n_chars" in names:
+        n = names["n_chars"]
+        cut = cut.withColumn(n, F.when(F.col("n_removed") == 0, F.col(n)).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+    return cut.select(*[F.col(n).alias(c) for c, n in names.items()])
 
 
 def op3_line_dedup(spark, sf_dir: str) -> DataFrame:
