@@ -9,7 +9,7 @@ per-vote log-odds, computed in the plan.
 
 Null or empty texts have no words: all counts are 0, the base check fails and
 they aren't kept.  Repeated rows get one result each; an empty table gives an
-empty result; extra columns are left alone.
+empty result; extra columns are left alone, whatever their names.
 """
 
 from __future__ import annotations
@@ -101,9 +101,10 @@ def _measure(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([measure(t) for t in texts], columns=[*COUNTS, *(f"v_{r}" for r in RULES)])
 
 
-def measured(docs: DataFrame, text: str = "text", out: str = "_quality") -> DataFrame:
-    small_batches(docs.sparkSession)
-    return docs.withColumn(out, F.pandas_udf(_measure, FEATURES).asNondeterministic()(F.col(text)))
+def measures(spark, text: Column) -> Column:
+    """Struct of the base counts and votes; marked so that a filter on it doesn't compute it twice."""
+    small_batches(spark)
+    return F.pandas_udf(_measure, FEATURES).asNondeterministic()(text)
 
 
 def vote_counts(votes: DataFrame) -> DataFrame:
@@ -165,7 +166,8 @@ def fitted(votes: DataFrame) -> dict:
 
 def assess(docs: DataFrame, threshold: float = 0.2) -> DataFrame:
     """Per document: base counts, votes, base_failed, quality (posterior probability of good) and kept."""
-    found = measured(own_columns(docs, "doc_id", "text")).select("doc_id", "_quality.*")
+    docs = own_columns(docs, "doc_id", "text")
+    found = docs.select("doc_id", measures(docs.sparkSession, F.col("text")).alias("found")).select("doc_id", "found.*")
     found = materialise(found, "quality")
     model = fitted(found)
     return (
@@ -176,11 +178,13 @@ def assess(docs: DataFrame, threshold: float = 0.2) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, threshold: float = 0.2) -> DataFrame:
-    """The rows of docs that pass, all columns unchanged: one pass fits the model, a second one filters."""
-    model = fitted(measured(own_columns(docs, "text")).select("_quality.*"))
+    """The rows of docs that pass, all columns unchanged; texts are measured once, and kept with their votes until the model is fitted."""
     names = docs.columns
-    kept = ~base_failed("_quality.") & (posterior(model, "_quality.") >= threshold)
-    return measured(docs).where(kept).select(*[F.col(f"`{c}`") for c in names])
+    seen = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), measures(docs.sparkSession, F.col("text")).alias("found"))
+    seen = materialise(seen, "quality")
+    model = fitted(seen.select("found.*"))
+    kept = ~base_failed("found.") & (posterior(model, "found.") >= threshold)
+    return seen.where(kept).select(*[F.col(f"row.`{c}`").alias(c) for c in names])
 
 
 def op6_quality_rules(spark, sf_dir: str) -> DataFrame:
