@@ -9,12 +9,13 @@ finds the fullest combination that still fits; the combination is taken as
 often as the counts allow, so each pattern uses up at least one length and the
 number of patterns is bounded by the number of lengths.
 
-Pieces then get ranks within their length (counted per partition, then summed
-up, so a length that holds a third of all pieces is no bottleneck) and look
-their sequence and offset up in the patterns.
+Pieces then get ranks within their length: each length has shelves of about
+SHELF_ROWS pieces, which are counted, summed up and ranked apart, so a length
+that holds most pieces is no bottleneck.  By rank they look their sequence and
+offset up in the patterns.
 
 Null and empty texts become the end id alone.  Repeated rows are packed each;
-an empty table gives no pieces.
+an empty table gives no pieces; extra columns are left out.
 """
 
 from __future__ import annotations
@@ -25,16 +26,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ontoloom.llm import tokens
-from ontoloom.llm.common import materialise, own_columns, small_batches, table
+from ontoloom.llm.common import BROADCAST_IDS, materialise, own_columns, small_batches, table
 
 CAPACITY = 1024
-#: Pieces are ranked within (length, shelf); shelves spread a frequent length over tasks.
-SHELVES = 256
+#: Pieces are ranked within (length, shelf); shelves of about so many pieces spread a frequent length over tasks.
+SHELF_ROWS = 100_000
 
 
 def cuts(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
@@ -141,23 +142,19 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = tok
     small_batches(spark)
     docs = own_columns(docs, "doc_id", "text")
     schema = T.StructType([docs.schema["doc_id"], T.StructField("piece", T.IntegerType()), *(T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32"))])
-    cut = docs.mapInArrow(_pieces(path, capacity, end_id), schema)
-    cut = cut.withColumn("_shelf", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SHELVES)).cast("int"))
-    cut = materialise(cut, "pieces")
-    shelf = cut.groupBy("length", "_shelf").agg(F.count(F.lit(1)).alias("n")).collect()  # at most capacity * SHELVES rows
-    shelf = sorted((r["length"], r["_shelf"], r["n"]) for r in shelf)
-    histogram: dict[int, int] = {}
-    firsts = []
-    for length, number, n in shelf:
-        firsts.append((length, number, histogram.get(length, 0)))
-        histogram[length] = histogram.get(length, 0) + n
-    plan = shelves_of(patterns(histogram, capacity))
-    schema = T.StructType([T.StructField("length", T.LongType()), T.StructField("_shelf", T.IntegerType()), T.StructField("_first", T.LongType())])
-    first = spark.createDataFrame(pd.DataFrame(firsts, columns=["length", "_shelf", "_first"]).astype({"length": "int64", "_shelf": "int32", "_first": "int64"}), schema)
-    from pyspark.sql import Window
-
+    cut = materialise(docs.mapInArrow(_pieces(path, capacity, end_id), schema), "pieces")
+    counted = cut.groupBy("length").agg(F.count(F.lit(1)).alias("n"))
+    histogram = {r["length"]: r["n"] for r in counted.collect()}  # at most capacity rows
+    plan = shelves_of(patterns(dict(sorted(histogram.items())), capacity))
+    shelves = spark.createDataFrame([(k, -(-n // SHELF_ROWS)) for k, n in histogram.items()], "length long, _shelves long")
+    spread = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.spark_partition_id()), F.col("_shelves")).cast("int")
+    cut = materialise(cut.join(F.broadcast(shelves), "length").select(*cut.columns, spread.alias("_shelf")), "shelved")  # shelves has at most capacity rows
+    first = cut.groupBy("length", "_shelf").agg(F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy("length").orderBy("_shelf").rowsBetween(Window.unboundedPreceding, -1)
+    first = materialise(first.select("length", "_shelf", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_first")), "shelves")
     order = Window.partitionBy("length", "_shelf").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = cut.withColumn("_n", F.row_number().over(order)).join(F.broadcast(first), ["length", "_shelf"]).withColumn("_rank", F.col("_first") + F.col("_n") - 1)
+    ranked = cut.withColumn("_n", F.row_number().over(order)).join(F.broadcast(first) if first.count() <= BROADCAST_IDS else first, ["length", "_shelf"])
+    ranked = ranked.withColumn("_rank", F.col("_first") + F.col("_n") - 1)
     return ranked.withColumn("_at", _placed(plan)("length", "_rank")).select("doc_id", "piece", "start", "length", "ids_crc32", F.col("_at.sequence_id").alias("sequence_id"), F.col("_at.offset").alias("offset"))
 
 
