@@ -7,11 +7,14 @@ exactly.  Text stands in the output if the marginal of the block that holds it
 reaches one half.  All potentials are counted on labelled pages, which
 training_pages() writes from page layouts with known content.
 
-Whole pages are read: scripts, styles, titles, text areas and frames are skipped
+Whole pages are read, in time that grows with their length whatever they hold:
+a tag whose quotes don't close ends at its first ">".  Scripts, styles, titles, text areas and frames are skipped
 as raw text, and the text in drop-down lists, drawings, templates, noscript and
-formula annotations, which browsers don't show as text, is left out; unclosed and misnested tags are tolerated.  Null, empty and tagless input has
-a defined result (empty text; text without tags is one block).  Repeated rows
-get one result each.
+formula annotations, which browsers don't show as text, is left out; unclosed
+and misnested tags are tolerated.  Null, empty and tagless input has a defined
+result (empty text; text without tags is one block).  Rows without page_id or
+url get a result; repeated rows get one each; extra columns are left out; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,15 +28,18 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ontoloom.llm.common import small_batches, table
+from ontoloom.llm.common import own_columns, small_batches, table
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_MARK = re.compile(r"<(?:(!--)|(!\[CDATA\[)|([!?])|(/?)([a-zA-Z][^\s/>]*))")
+_OPAQUE = re.compile(r"<(?:(!--)|(!\[CDATA\[))()()()")  # all that can begin after the last ">"
+_STOP = re.compile(r"[>\"']")
+_NUMERIC = re.compile(r"&#(?:0*([0-9]*)|[xX]0*([0-9a-fA-F]*));?")
 _ATTRIBUTE = re.compile(r"\b(?:class|id|role|aria-label|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _RAW = frozenset("script style textarea iframe title".split())
 #: Elements whose text is left out; a block in those of the second set shows that the end tag is missing.
 _HIDDEN = frozenset("noscript template svg select annotation annotation-xml".split())
 _BROKEN = frozenset("svg select".split())
-_END_TAG = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in _RAW | _HIDDEN}
+_END_TAG = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in _RAW | _HIDDEN}
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset(
     "html head body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption button".split()
@@ -41,6 +47,7 @@ _BLOCK = frozenset(
 #: An opening tag of the second kind closes open ones of the first, up to a container.
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
 _SCOPE = frozenset("table ul ol dl menu body html div article section main aside nav header footer form blockquote".split())
+_HOLDS_P = _SCOPE | {"td", "th", "li", "button"}
 _HINTS = [
     ("comment", re.compile(r"comment|disqus|respon[ds]e?|replies|reply|discussion|review", re.I)),
     ("advert", re.compile(r"(?:^|[^a-z])(?:ad|ads|adv|advert\w*|sponsor\w*|promo\w*|banner|outbrain|taboola|affiliate)(?:$|[^a-z])", re.I)),
@@ -73,23 +80,74 @@ def hint_of(attributes: str) -> str:
     return "none"
 
 
+def unescaped(text: str) -> str:
+    """Character references decoded; numbers beyond Unicode, however long, give U+FFFD."""
+
+    def shortened(m: re.Match) -> str:
+        digits = m[1] if m[1] is not None else m[2]
+        return m[0] if len(m[0]) < 12 else "\ufffd" if len(digits) > 7 else f"&#{'' if m[1] is not None else 'x'}{digits or 0};"
+
+    return html.unescape(_NUMERIC.sub(shortened, text) if "&#" in text else text)
+
+
+class _Tags:
+    """Finds a page's markup from a place on.  Places of quotes that lead to an unclosed one are kept, so that each is followed once."""
+
+    def __init__(self, page: str):
+        self.page, self.last = page, page.rfind(">")
+        self._dead: set[int] = set()
+
+    def _tag_end(self, at: int) -> int:
+        page, seen, here = self.page, [], at
+        while m := _STOP.search(page, here):
+            if m[0] == ">":
+                return m.start()
+            seen.append(m.start())
+            closing = -1 if m.start() in self._dead else page.find(m[0], m.end())
+            if closing < 0:
+                break
+            here = closing + 1
+        self._dead.update(seen)
+        return page.find(">", at)
+
+    def next(self, at: int) -> tuple[int, int, bool, str, str] | None:
+        """(start, end, is an end tag, name, attributes) of the next markup; the name of comments and declarations is empty."""
+        page = self.page
+        while m := (_MARK if at <= self.last else _OPAQUE).search(page, at):
+            begin, after = m.start(), m.end()
+            if m[1] or m[2]:
+                closing = "-->" if m[1] else "]]>"
+                end = page.find(closing, after)
+                return begin, (len(page) if end < 0 else end + 3), False, "", ""
+            end = -1 if after > self.last else page.find(">", after) if m[3] else self._tag_end(after)
+            if end >= 0:
+                return begin, end + 1, bool(m[4]), (m[5] or "").lower(), page[after:end] if m[5] else ""
+            at = begin + 1
+        return None
+
+
 def parse(page: str | None) -> tuple[list[Node], list[tuple[int, str]]]:
     """Nodes in document order (parents first; 0 is the root), and (node, text) blocks in page order."""
     nodes, blocks = [Node("root", "none", -1)], []
     stack: list[tuple[str, int]] = [("root", 0)]  # open elements with the node that holds their text
+    places: dict[str, list[int]] = {}  # of a tag's open elements on the stack
+    scopes, holders = [0], [0]  # places of open elements of _SCOPE and _HOLDS_P
     buffer: list[str] = []
     link = 0
     hidden: list[str] = []  # the open element of _HIDDEN with those of its kind in it, and foreign objects
+    foreign = 0  # of them foreign objects
     last: dict[str, int] = {}
+    page, at = page or "", 0
+    tags = _Tags(page)
 
     def ends_after(tag: str, at: int) -> bool:
         if tag not in last:
-            last[tag] = max((m.start() for m in _END_TAG[tag].finditer(page)), default=-1)
+            last[tag] = max((m.start() for m in _END_TAG[tag].finditer(page, 0, tags.last + 1)), default=-1)
         return last[tag] >= at
 
     def flush() -> None:
         if buffer:
-            text = " ".join(html.unescape("".join(buffer)).split())
+            text = " ".join(unescaped("".join(buffer)).split())
             if text:
                 blocks.append((stack[-1][1], text))
             buffer.clear()
@@ -104,47 +162,66 @@ def parse(page: str | None) -> tuple[list[Node], list[tuple[int, str]]]:
                 if link:
                     node.links += n
 
+    def push(tag: str, node: int) -> None:
+        places.setdefault(tag, []).append(len(stack))
+        if tag in _SCOPE:
+            scopes.append(len(stack))
+        if tag in _HOLDS_P:
+            holders.append(len(stack))
+        stack.append((tag, node))
+
     def close(depth: int) -> None:
         nonlocal link
-        if any(t in _BLOCK for t, _ in stack[depth:]):
+        if any(stack[i][0] in _BLOCK for i in range(depth, len(stack))):
             flush()
-        link -= sum(t == "a" for t, _ in stack[depth:])
-        del stack[depth:]
-
-    page, at = page or "", 0
-    while m := _TAG.search(page, at):
-        add_text(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:
+        while len(stack) > depth:
+            tag, _ = stack.pop()
+            places[tag].pop()
+            link -= tag == "a"
+        for kept in (scopes, holders):
+            while kept[-1] >= depth:
+                kept.pop()
+
+    def place(tag: str) -> int:
+        """Of the innermost open element of the tag; 0 without one."""
+        return places[tag][-1] if places.get(tag) else 0
+
+    while found := tags.next(at):
+        begin, end, ends, tag, attributes = found
+        add_text(page[at:begin])
+        at = end
+        if not tag:
             continue
-        tag, ends = m[2].lower(), bool(m[1])
-        closed = m[3].rstrip().endswith("/")
+        closed = attributes.rstrip().endswith("/")
         if tag in _RAW and not ends and not (closed and hidden):
-            end = _END_TAG[tag].search(page, at) if ends_after(tag, at) else None
-            if end:
-                at = end.end()
+            stop = _END_TAG[tag].search(page, at) if ends_after(tag, at) else None
+            if stop:
+                at = page.find(">", stop.end()) + 1
             elif tag in ("script", "style"):  # the rest is code, as in browsers
                 at = len(page)
             if tag == "textarea" and not hidden:
                 nodes[stack[-1][1]].controls += 1
             continue
         if hidden:
-            if ends and tag in hidden:
-                while hidden.pop() != tag:
-                    pass
+            if ends and (tag == hidden[0] or tag == "foreignobject" and foreign):
+                while True:
+                    foreign -= hidden[-1] == "foreignobject"
+                    if hidden.pop() == tag:
+                        break
                 continue
             again = tag == hidden[0] == "select" and not ends
             if not again:
-                broken = hidden[0] in _BROKEN and "foreignobject" not in hidden and tag in _BLOCK and not (ends and all(t != tag for t, _ in stack))
+                broken = hidden[0] in _BROKEN and not foreign and tag in _BLOCK and not (ends and not place(tag))
                 if not broken:
                     if not ends and not closed and tag in (hidden[0], "foreignobject"):
                         hidden.append(tag)
+                        foreign += tag == "foreignobject"
                     continue
             hidden.clear()
+            foreign = 0
         if ends:
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0)
-            if depth:
-                close(depth)
+            if place(tag):
+                close(place(tag))
             elif tag in _BLOCK:
                 flush()
             continue
@@ -162,31 +239,21 @@ def parse(page: str | None) -> tuple[list[Node], list[tuple[int, str]]]:
                 if tag == "hr":
                     flush()
             continue
-        if tag in _BLOCK:
-            for i in range(len(stack) - 1, 0, -1):  # a block ends an open paragraph
-                if stack[i][0] == "p":
-                    close(i)
-                    break
-                if stack[i][0] in _SCOPE or stack[i][0] in ("td", "th", "li", "button"):
-                    break
-        if tag in _CLOSES:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] in _CLOSES[tag]:
-                    close(i)
-                    break
-                if stack[i][0] in _SCOPE:
-                    break
+        if tag in _BLOCK and place("p") > holders[-1]:  # a block ends an open paragraph
+            close(place("p"))
+        if tag in _CLOSES and (inner := max(map(place, _CLOSES[tag]))) > scopes[-1]:
+            close(inner)
         if closed and tag not in _BLOCK:
             continue
         if tag in _BLOCK:
             flush()
             parent = stack[-1][1]
-            nodes.append(Node(tag, hint_of(m[3]), parent))
+            nodes.append(Node(tag, hint_of(attributes), parent))
             nodes[parent].children.append(len(nodes) - 1)
-            stack.append((tag, len(nodes) - 1))
+            push(tag, len(nodes) - 1)
         else:
             link += tag == "a"
-            stack.append((tag, stack[-1][1]))
+            push(tag, stack[-1][1])
     add_text(page[at:])
     flush()
     for node, _ in blocks:
@@ -376,7 +443,7 @@ def extracted(pages: DataFrame, model: dict | None = None) -> DataFrame:
     def texts(raw: pd.Series) -> pd.Series:
         return pd.Series([extract(x, model) for x in raw], dtype="object")
 
-    out = pages.select("page_id", "url", F.pandas_udf(texts, "string").asNondeterministic()("html").alias("text"))
+    out = own_columns(pages, "page_id", "url", "html").select("page_id", "url", F.pandas_udf(texts, "string").asNondeterministic()("html").alias("text"))
     return out.withColumn("n_chars", F.length("text").cast("long"))
 
 
