@@ -11,12 +11,17 @@ confirmed on the full sets.
 
 Groups of near copies are never expanded into all pairs.  First every
 representative is checked against the likeliest of its bands' hubs (the
-smallest member and some drawn ones), which merges most of a group; then pairs are made only between members of a
-band that are still in different groups, after a wider sketch has ruled out more.  Components join the confirmed links.
+smallest member and some drawn ones), which merges most of a group.  Then the
+members of a band that are still in different groups are compared; large bands
+are dealt into parts, so that their comparisons spread over tasks, and members of
+one group are never compared.  A wider sketch rules out more pairs inside the
+join, and of the others only those are confirmed whose groups no likelier pair
+has joined yet.  Components join the confirmed links.
 
 Null or empty texts have an empty set and are linked with nothing.  A text with
 fewer words than a shingle has its whole sequence as the one shingle.  Rows
-without doc_id take no part and are kept.  Repeated rows get one result each.
+without doc_id take no part and are kept.  Repeated rows get one result each;
+rows that share a doc_id are one node, linked by any of their texts.
 """
 
 from __future__ import annotations
@@ -27,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ontoloom.llm.common import materialise, own_columns, semi, small_batches
+from ontoloom.llm.common import claim, materialise, own_columns, semi, small_batches
 from ontoloom.llm.components import components, roots
 
 ROWS, BANDS = 5, 36
@@ -39,6 +44,10 @@ WORD_CACHE = 300_000
 #: Besides a band's smallest member so many drawn ones serve as hubs (candidates grow with members times hubs); a representative is checked against its TRIES likeliest hubs.
 HUBS, TRIES = 1, 3
 
+#: Members of a band that one part holds, about; two parts are compared in about a second.
+CELL = 1024
+#: Rounds in which only each label's likeliest pair is confirmed.
+EARLY_ROUNDS = 4
 #: A wider sketch for representatives whose bands still join different groups.
 WIDE, WIDE_BITS, WIDE_MARGIN = 2048, 2, 0.048
 
@@ -78,6 +87,7 @@ def shingle_set(words: list[bytes], k: int) -> set[tuple[bytes, ...]]:
 
 def shingle_hashes(words: list[bytes], k: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the shingles."""
+    claim("minhash", _hashes.clear)
     n = len(words)
     if not n:
         return np.empty(0, dtype=np.uint64)
@@ -178,35 +188,88 @@ def _estimated(pairs: DataFrame, planes: DataFrame, percent: int) -> DataFrame:
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold."""
+    """The pairs (a, b) whose full sets reach the threshold; a repeated row's text is compared once."""
     ids = materialise(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids")
-    texts = semi(docs, ids, "doc_id", ids.count())
+    texts = semi(docs, ids, "doc_id", ids.count()).groupBy("doc_id").agg(F.collect_set("text").alias("texts"))
     for x in "ab":
-        pairs = pairs.join(texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"t_{x}")), x)
+        pairs = pairs.join(texts.select(F.col("doc_id").alias(x), F.col("texts").alias(f"t_{x}")), x)
+    pairs = pairs.withColumn("t_a", F.explode("t_a")).withColumn("t_b", F.explode("t_b"))
     return pairs.where(_linked(k, percent)("t_a", "t_b")).select("a", "b").distinct()
 
 
+def _dealt(labelled: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides of the comparisons in labelled (bucket, rep, label): bucket, meet, within, rep_x and label_x for x in a, b.
+
+    A band's members are dealt into parts of about CELL: a label with more
+    members has parts of its own, the others share parts.  Two members of
+    different labels meet in one (bucket, meet), or, where both come from one
+    part (within), once each way.  Parts of one label never meet.
+    """
+    sizes = labelled.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
+    unit = F.when(F.col("n") > CELL, F.col("label").cast("string")).otherwise("").alias("unit")
+    units = sizes.groupBy("bucket", unit).agg(F.ceil(F.sum("n") / CELL).cast("int").alias("parts"))
+    placed = labelled.join(sizes, ["bucket", "label"]).select("bucket", "rep", "label", unit).join(units, ["bucket", "unit"])
+    placed = placed.select("bucket", "rep", "label", "unit", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("part"))
+    x, y = (units.select("bucket", F.col("unit").alias(f"unit_{s}"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias(f"part_{s}")) for s in "ab")
+    meets = x.join(y, "bucket").where((F.col("unit_a") < F.col("unit_b")) | ((F.col("unit_a") == "") & (F.col("unit_b") == "") & (F.col("part_a") <= F.col("part_b"))))
+    within = (F.col("unit_a") == F.col("unit_b")) & (F.col("part_a") == F.col("part_b"))
+    meets = materialise(meets.select("*", within.alias("within"), F.xxhash64("unit_a", "part_a", "unit_b", "part_b").alias("meet")), "meets")
+    side = lambda s: placed.join(meets.select("bucket", "meet", "within", F.col(f"unit_{s}").alias("unit"), F.col(f"part_{s}").alias("part")), ["bucket", "unit", "part"])
+    a, b = (side(s).select("bucket", "meet", "within", F.col("rep").alias(f"rep_{s}"), F.col("label").alias(f"label_{s}")) for s in "ab")
+    return a, b
+
+
 def _meeting(labelled: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of different labels that share a band and that sizes and both sketches don't rule out.
+    """Pairs (a, b) of different labels (label_a, label_b) that share a band and that sizes and both sketches don't rule out, with est.
 
     Members of such bands get a wider sketch first.  All tests stand in the
     join's condition, so the join makes no row for a pair that they rule out,
     and one row for a pair that meets in several bands.
     """
     ids = materialise(labelled.select(F.col("rep").alias("doc_id")).distinct(), "ids")
-    wide = semi(docs, ids, "doc_id", ids.count()).select(F.col("doc_id").alias("rep"), _wide(k)("text").alias("wide")).dropDuplicates(["rep"])
+    wide = semi(docs, ids, "doc_id", ids.count()).select(F.col("doc_id").alias("rep"), _wide(k)("text").alias("wide")).distinct()
     sketched = materialise(reps.select("rep", "n_shingles", "planes", "bands").join(wide, "rep"), "sketches")
-    sides = []
+    left, right = _dealt(labelled)
     for x in "ab":
-        side = labelled.join(sketched, "rep")
-        sides.append(side.select("bucket", *[F.col(c).alias(f"{c}_{x}") for c in ("rep", "label", "n_shingles", "planes", "bands", "wide")]))
+        payload = sketched.select(*[F.col(c).alias(f"{c}_{x}") for c in ("rep", "n_shingles", "planes", "bands", "wide")])
+        left, right = (left.join(payload, "rep_a"), right) if x == "a" else (left, right.join(payload, "rep_b"))
+    right = right.drop("within").withColumnsRenamed({"bucket": "bucket_b", "meet": "meet_b"})
     sized = (100 * F.col("n_shingles_a") >= percent * F.col("n_shingles_b")) & (100 * F.col("n_shingles_b") >= percent * F.col("n_shingles_a"))
-    alike = (estimate("planes_a", "planes_b") >= percent / 100 - MARGIN) & (estimate("wide_a", "wide_b", WIDE, WIDE_BITS, 64) >= percent / 100 - WIDE_MARGIN)
+    wide_est = estimate("wide_a", "wide_b", WIDE, WIDE_BITS, 64)
+    alike = (estimate("planes_a", "planes_b") >= percent / 100 - MARGIN) & (wide_est >= percent / 100 - WIDE_MARGIN)
     once = F.array_min(F.array_intersect("bands_a", "bands_b")) == F.col("bucket")
-    left, right = sides
-    right = right.withColumnRenamed("bucket", "bucket_b")
-    met = left.join(right, (F.col("bucket") == F.col("bucket_b")) & (F.col("rep_a") < F.col("rep_b")) & (F.col("label_a") != F.col("label_b")) & sized & alike & once)
-    return met.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
+    ways = ~F.col("within") | (F.col("rep_a") < F.col("rep_b"))
+    met = left.join(right, (F.col("bucket") == F.col("bucket_b")) & (F.col("meet") == F.col("meet_b")) & ways & (F.col("label_a") != F.col("label_b")) & sized & alike & once)
+    return met.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"), "label_a", "label_b", wide_est.alias("est"))
+
+
+def _links(met: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Edges (u, v) between labels, which join the labels that the confirmed pairs of met join.
+
+    While there are many more pairs than labels and links are found, each label's
+    likeliest pair is confirmed first (for EARLY_ROUNDS at most), and pairs whose
+    labels that joins go; then all that are left are confirmed.
+    """
+    edges, last = None, False
+    rest = materialise(met, "met")
+    for early in range(EARLY_ROUNDS, -1, -1):
+        labels = rest.select(F.explode(F.array("label_a", "label_b")).alias("label"), F.struct("est", "a", "b").alias("pair"))
+        n_labels = labels.agg(F.approx_count_distinct("label")).first()[0]
+        few = last or not early or rest.count() <= 4 * n_labels
+        tested = rest if few else materialise(labels.groupBy("label").agg(F.max("pair").alias("pair")).select("pair.a", "pair.b").distinct(), "likeliest")
+        good = _confirmed(tested.select("a", "b"), docs, k, percent)
+        good = materialise(good.join(rest, ["a", "b"]).select(F.col("label_a").alias("u"), F.col("label_b").alias("v")).distinct(), "links")
+        edges = good if edges is None else edges.union(good)
+        if few:
+            return edges
+        rest = rest.join(tested, ["a", "b"], "left_anti")
+        last = good.isEmpty()
+        if not last:
+            over = components(good)
+            for x in "ab":
+                rest = rest.join(over.select(F.col("node").alias(f"label_{x}"), "root"), f"label_{x}", "left").withColumn(f"label_{x}", F.coalesce("root", f"label_{x}")).drop("root")
+            rest = rest.where("label_a <> label_b")
+        rest = materialise(rest, "met")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -215,14 +278,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     docs = own_columns(docs, "doc_id", "text")
     found = materialise(docs.select("doc_id", _features(shingle)("text").alias("f")).select("doc_id", "f.*"), "minhash")
     named = found.where("n_shingles > 0 and doc_id is not null")
-    classes = named.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
-    reps = named.withColumnRenamed("doc_id", "rep").join(classes, ["set_key", "rep"], "left_semi")
+    reps = named.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("n_shingles", "planes", "bands"), "doc_id").alias("f"))
+    reps = materialise(reps.select("set_key", "rep", "f.*"), "representatives")
+    classes = reps.select("set_key", "rep")
     planes = reps.select("rep", "n_shingles", "planes")
     members = reps.select("rep", F.explode("bands").alias("bucket"))
     drawn = [F.min_by("rep", F.xxhash64("rep", "bucket", F.lit(i))).alias(f"h{i}") for i in range(HUBS)]
     shared = members.groupBy("bucket").agg(F.min("rep").alias("_low"), F.max("rep").alias("_top"), *drawn).where("_low < _top")
     shared = shared.select("bucket", F.array_distinct(F.array("_low", *[f"h{i}" for i in range(HUBS)])).alias("hubs"))
-    members = materialise(members.join(shared, "bucket").distinct(), "members")
+    members = materialise(members.join(shared, "bucket"), "members")
 
     # Each representative against the likeliest hubs of its bands.
     first = members.select(F.explode("hubs").alias("a"), F.col("rep").alias("b")).where("a < b").distinct()
@@ -235,11 +299,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     labelled = materialise(labelled, "labelled")
     mixed = labelled.groupBy("bucket").agg(F.min("label").alias("_l"), F.max("label").alias("_h")).where("_l < _h").select("bucket")
     labelled = materialise(labelled.join(mixed, "bucket", "left_semi"), "mixed")
-    second = _confirmed(materialise(_meeting(labelled, reps, docs, shingle, percent), "second"), docs, shingle, percent)
-    second = materialise(second, "links")
-    label = lambda x: tree.select(F.col("node").alias(x), F.col("root").alias(f"l_{x}"))
-    edges = second.join(label("a"), "a", "left").join(label("b"), "b", "left").select(F.coalesce("l_a", "a").alias("u"), F.coalesce("l_b", "b").alias("v"))
-    if not second.isEmpty():
+    edges = _links(_meeting(labelled, reps, docs, shingle, percent), docs, shingle, percent)
+    if not edges.isEmpty():
         over = components(edges)
         tree = tree.join(over.select(F.col("node").alias("root"), F.col("root").alias("_top")), "root", "left").select("node", F.coalesce("_top", "root").alias("root")).union(over.join(tree, "node", "left_anti").select("node", "root"))
     final = classes.join(tree.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("root", "rep").alias("_component"))
