@@ -1,19 +1,26 @@
 """Toxicity by weak supervision.
 
-Voters say toxic (1), clean (-1) or abstain (0): a built-in lexicon in groups,
-lexicons of words and word beginnings mined from labelled training rows (in
-groups that share no beginning), patterns (shouting, insults addressed to
-"you") and the annotator.  A generative label model, fitted by EM, estimates
-the class balance and each voter's accuracies; the correlation of voters within
-the classes discounts those that repeat each other.  A logistic classifier on
-the lexicon entries and patterns of the whole text is trained on the posterior
-labels and gives the score.
+Many voters say toxic or abstain: a built-in lexicon in groups, patterns
+(shouting, insults addressed to "you"), and lexicon entries mined from labelled
+training rows (words and word beginnings that are far more frequent in toxic
+ones than chance explains).  No voter knows a row's label: labels choose the mined lexicons, and
+anchor the voters' accuracies beside the posteriors, so that the two classes keep
+their meaning.
+
+The generative label model is a tree: each voter's chance to fire depends on the
+class and on one other voter, so it has both accuracies and correlations.  Which
+voters depend on each other is the spanning tree of largest conditional mutual
+information; expectation-maximisation estimates the class balance and the tables.
+A logistic classifier on the lexicon entries and patterns of the whole text is
+trained on the posterior labels and gives the score.
 
 Fitting uses at most TRAIN_ROWS labelled rows outside the held-out fold
-(crc32(doc_id) mod 4 = 2), drawn by a hash; scoring covers every row.
-Null and empty texts have no words and get the score of a text without hits;
-repeated rows get one result each; with no labels at all the built-in lexicon
-decides; an empty table gives no rows.
+(crc32(doc_id) mod 4 = 2), drawn by a hash; scoring covers every row.  Where
+several rows share a doc_id the smallest text is the labelled one.
+Null and empty texts have no words and get the score of a text without hits; rows
+without doc_id are scored and not held out; repeated rows get one result each;
+with no toxic labels the built-in lexicon decides; an empty table gives no rows;
+extra columns are left out.
 """
 
 from __future__ import annotations
@@ -27,11 +34,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ontoloom.llm.common import materialise, own_columns, small_batches, table
+from ontoloom.llm.common import claim, materialise, own_columns, small_batches, table
 
 TRAIN_ROWS = 20_000
-MAX_ENTRIES = 50_000
-GROUPS = 8
+#: A mined entry stands in so many toxic training rows at least, is so many times likelier in toxic than in clean ones, and its log-likelihood ratio (G) says that chance doesn't explain it.
+LEAST_ROWS, LEAST_RATIO, LEAST_G = 3, 5, 15
 WORD_CACHE = 400_000
 LETTERS = re.compile(r"[^\W\d_]+")
 LEXICON = {
@@ -48,7 +55,7 @@ BASE = [*LEXICON, "shouting", "addressed"]
 
 
 def held_out(doc_id: Column) -> Column:
-    return F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
 def entries_of(word: str) -> list[str]:
@@ -73,25 +80,33 @@ def patterns_in(text: str | None, words: set[str]) -> list[str]:
 def training_rows(docs: DataFrame, labels: DataFrame, limit: int) -> DataFrame:
     """(doc_id, text, toxic) of at most limit labelled rows outside the held-out fold."""
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    known = known.where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id")).limit(limit)
-    return docs.join(F.broadcast(known), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "toxic")  # known has at most limit rows
+    known = known.where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+    return docs.join(F.broadcast(known), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))  # known has at most limit rows
 
 
-def _entry_counts(known: frozenset[str] | None):
-    """Texts by entry and batch; with known, of those entries alone."""
+def _entry_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        counts: Counter[str] = Counter()
+        for text in batch["text"]:
+            counts.update({e for w in words_in(text) for e in entries_of(w)})
+        yield pd.DataFrame({"entry": list(counts), "n": list(counts.values())})
 
-    def entry_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            counts: Counter[str] = Counter()
-            for text in batch["text"]:
-                counts.update({e for w in words_in(text) for e in entries_of(w) if known is None or e in known})
-            yield pd.DataFrame({"entry": list(counts), "n": list(counts.values())})
 
-    return entry_counts
+def _by_entry(texts: DataFrame, name: str) -> DataFrame:
+    """Texts by entry."""
+    return texts.select("text").mapInPandas(_entry_counts, "entry string, n long").groupBy("entry").agg(F.sum("n").alias(name))
 
 
-def _by_entry(texts: DataFrame, known: frozenset[str] | None = None) -> DataFrame:
-    return texts.select("text").mapInPandas(_entry_counts(known), "entry string, n long").groupBy("entry").agg(F.sum("n").alias("n"))
+def strong_entries(train: DataFrame, n_toxic: int, n_clean: int) -> list[str]:
+    """The mined entries; all that pass, which the size of the training rows bounds."""
+    toxic = _by_entry(train.where("toxic = 1"), "toxic").where(F.col("toxic") >= LEAST_ROWS)
+    both = toxic.join(_by_entry(train.where("toxic = 0"), "clean"), "entry", "left").fillna(0, ["clean"])
+    t, c = F.col("toxic"), F.col("clean")
+    ratio = (t + 0.5) / (c + 0.5) * F.lit((n_clean + 1) / (n_toxic + 1))
+    share = n_toxic / max(n_toxic + n_clean, 1)
+    part = lambda n, p: F.when(n > 0, n * F.log(n / ((t + c) * max(p, 1e-9)))).otherwise(0.0)
+    g = 2 * (part(t, share) + part(c, 1 - share))
+    return sorted(r["entry"] for r in both.where((ratio >= LEAST_RATIO) & (g >= LEAST_G)).select("entry").collect())
 
 
 def _hits(entries: frozenset[str]):
@@ -107,39 +122,135 @@ def _hits(entries: frozenset[str]):
     return hits
 
 
-def label_model(votes: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, np.ndarray]:
-    """Posterior P(toxic) per row and the correlations of the voters within the classes.
+class LabelModel:
+    """Two classes and binary voters (fire or abstain), each dependent on the class and on its parent voter in a tree.
 
-    A voter's weights are divided by one plus its positive correlations with the
-    others, so voters that repeat each other count about once.
+    rows: per row the sorted numbers of the voters that fire.
     """
-    n, m = votes.shape
-    if not n:
-        return np.zeros(0), np.zeros((m, m))
-    hot = np.stack([votes == v for v in (-1, 0, 1)], axis=2).astype(float)
-    post = np.clip(0.05 + 0.45 * (votes == 1).sum(1) - 0.2 * (votes == -1).sum(1), 0.02, 0.98)
-    discount, corr = np.ones(m), np.zeros((m, m))
-    for i in range(rounds):
-        t, c = np.einsum("n,nmv->mv", post, hot) + 0.1, np.einsum("n,nmv->mv", 1 - post, hot) + 0.1
-        t[:, 1] += 0.8
-        c[:, 1] += 0.8
-        weight = np.log(t / t.sum(1, keepdims=True)) - np.log(c / c.sum(1, keepdims=True))
-        prior = np.log((post.sum() + 1) / (n - post.sum() + 1))
-        new = 1 / (1 + np.exp(-np.clip(prior + np.einsum("nmv,mv->n", hot, weight * discount[:, None]), -30, 30)))
-        if i % 10 == 4:
-            v = votes.astype(float)
-            left = v - np.outer(post, post @ v / max(post.sum(), 1e-9)) - np.outer(1 - post, (1 - post) @ v / max((1 - post).sum(), 1e-9))
-            sd = np.sqrt((left**2).mean(0)) + 1e-6
-            corr = (left.T @ left) / n / np.outer(sd, sd)
-            np.fill_diagonal(corr, 0)
-            discount = 1 / (1 + np.clip(corr, 0, 1).sum(1))
-        done, post = np.abs(new - post).max() < 1e-5, new
-        if done and i > 20:
-            break
-    return post, corr
-
-
-def logistic(rows: list[np.ndarray], target: np.ndarray, n_features: int, l2: float = 0.02, rounds: int = 400) -> tuple[np.ndarray, float]:
+
+    def __init__(self, rows: list[np.ndarray], n_voters: int):
+        self.n, self.m = len(rows), n_voters
+        self.row = np.concatenate([np.full(len(r), i) for i, r in enumerate(rows)] or [[]]).astype(np.int64)
+        self.voter = np.concatenate([*rows, np.zeros(0)]).astype(np.int64)
+        self.parent = np.full(n_voters, -1)
+        self._pairs()
+
+    def _pairs(self) -> None:
+        """Voters a < b that fire together: their numbers, and the rows where they do."""
+        size = np.bincount(self.row, minlength=self.n)
+        start = np.cumsum(size) - size
+        a, b, where = [], [], []
+        for i in np.flatnonzero(size > 1):
+            mine = self.voter[start[i] : start[i] + size[i]]
+            x, y = np.triu_indices(len(mine), 1)
+            a.append(mine[x])
+            b.append(mine[y])
+            where.append(np.full(len(x), i))
+        join = lambda parts: np.concatenate([*parts, np.zeros(0)]).astype(np.int64)
+        self.pair, self.pair_at = np.unique(join(a) * self.m + join(b), return_inverse=True)
+        self.pair_row = join(where)
+
+    def _table(self, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        """Weighted rows where each voter fires, where each pair does, and all."""
+        return (
+            np.bincount(self.voter, weights=weight[self.row], minlength=self.m),
+            np.bincount(self.pair_at, weights=weight[self.pair_row], minlength=len(self.pair)),
+            float(weight.sum()),
+        )
+
+    def grow(self, post: np.ndarray) -> None:
+        """The tree of largest conditional mutual information between voters that fire together."""
+        gain = np.zeros(len(self.pair))
+        a, b = self.pair // max(self.m, 1), self.pair % max(self.m, 1)
+        for weight in (post, 1 - post):
+            one, both, total = self._table(weight)
+            total += 1.0
+            for x, y in ((1, 1), (1, 0), (0, 1), (0, 0)):
+                pa, pb = (one[a] if x else total - one[a]) + 0.25, (one[b] if y else total - one[b]) + 0.25
+                joint = both if x and y else one[a] - both if x else one[b] - both if y else total - one[a] - one[b] + both
+                joint = np.maximum(joint, 0) + 0.25 * pa * pb / total / total  # smoothing in proportion to independence
+                gain += joint * np.log(np.maximum(joint * total / (pa * pb), 1e-12))
+        root = list(range(self.m))
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        near: list[list[int]] = [[] for _ in range(self.m)]
+        for k in np.argsort(-gain, kind="stable"):
+            if gain[k] <= 2.0:  # weaker than chance would make it
+                break
+            x, y = int(a[k]), int(b[k])
+            if find(x) != find(y):
+                root[find(x)] = find(y)
+                near[x].append(y)
+                near[y].append(x)
+        self.parent[:] = -1
+        seen: set[int] = set()
+        for top in range(self.m):
+            if top in seen:
+                continue
+            seen.add(top)
+            todo = [top]
+            while todo:
+                x = todo.pop()
+                for y in near[x]:
+                    if y not in seen:
+                        seen.add(y)
+                        self.parent[y] = x
+                        todo.append(y)
+        self._states()
+
+    def _states(self) -> None:
+        """(row, voter) that fire with a parent that fires, without, and that don't fire while their parent does."""
+        child_of: list[list[int]] = [[] for _ in range(self.m)]
+        for c, p in enumerate(self.parent):
+            if p >= 0:
+                child_of[p].append(c)
+        fired = set((self.row * self.m + self.voter).tolist())
+        code = self.row * self.m + np.where(self.parent[self.voter] >= 0, self.parent[self.voter], self.voter)
+        up = (self.parent[self.voter] >= 0) & np.fromiter((c in fired for c in code.tolist()), bool, len(code))
+        self.with_parent = (self.row[up], self.voter[up])
+        self.alone = (self.row[~up], self.voter[~up])
+        quiet = [(r, c) for r, v in zip(self.row.tolist(), self.voter.tolist(), strict=True) for c in child_of[v] if r * self.m + c not in fired]
+        self.quiet = (np.array([r for r, _ in quiet], dtype=np.int64), np.array([c for _, c in quiet], dtype=np.int64))
+
+    def _tables(self, weight: np.ndarray) -> np.ndarray:
+        """Per voter its chance to fire where its parent doesn't and where it does."""
+        count = lambda state: np.bincount(state[1], weights=weight[state[0]], minlength=self.m)
+        both, alone, quiet = count(self.with_parent), count(self.alone), count(self.quiet)
+        calm = weight.sum() - both - quiet  # weight of rows whose parent doesn't fire
+        return np.stack([(alone + 0.1) / (calm + 1.0), (both + 0.1) / (both + quiet + 0.5)])
+
+    def fit(self, anchor: np.ndarray, rounds: int = 60) -> np.ndarray:
+        """Posterior P(toxic) per row; the tables are counted on the posteriors and, as much, on the anchor (0 to 1 per row), which is also the start."""
+        if not self.n:
+            return np.zeros(0)
+        post = anchor
+        for i in range(rounds):
+            mixed = (post + anchor) / 2
+            if i in (0, 5):
+                self.grow(mixed)
+            t, c = self._tables(mixed), self._tables(1 - mixed)
+            odds = np.log((mixed.sum() + 1) / (self.n - mixed.sum() + 1)) + (np.log1p(-t[0]) - np.log1p(-c[0])).sum()
+            odds = np.full(self.n, odds)
+            calm = np.log1p(-t[0]) - np.log1p(-c[0])
+            for (row, voter), change in (
+                (self.with_parent, np.log(t[1]) - np.log(c[1]) - calm),
+                (self.alone, np.log(t[0]) - np.log(c[0]) - calm),
+                (self.quiet, np.log1p(-t[1]) - np.log1p(-c[1]) - calm),
+            ):
+                odds += np.bincount(row, weights=change[voter], minlength=self.n)
+            new = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+            done, post = np.abs(new - post).max() < 1e-4, new
+            if done and i > 8:
+                break
+        return post
+
+
+def logistic(rows: list[np.ndarray], target: np.ndarray, n_features: int, l2: float = 0.5, rounds: int = 400) -> tuple[np.ndarray, float]:
     """Weights and bias of a logistic classifier on binary features, by accelerated gradient steps."""
     w, b = np.zeros(n_features), 0.0
     if not len(rows):
@@ -160,36 +271,26 @@ def logistic(rows: list[np.ndarray], target: np.ndarray, n_features: int, l2: fl
     return w, float(b)
 
 
+def fit_rows(rows: list[tuple[int, list[str], list[str]]], strong: list[str]) -> dict:
+    """The model from training rows (toxic, entries, base patterns): label model, then classifier."""
+    names = [*BASE, *strong]
+    number = {x: i for i, x in enumerate(names)}
+    fired = [np.array(sorted({number[x] for x in [*base, *entries]}), dtype=np.int64) for _, entries, base in rows]
+    posterior = LabelModel(fired, len(names)).fit(np.array([float(toxic) for toxic, _, _ in rows]))
+    weights, bias = logistic(fired, posterior, len(names))
+    if not any(toxic for toxic, _, _ in rows):  # nothing to learn from: the lexicon alone
+        weights[: len(BASE)], bias = 3.0, -3.0
+    return {"bias": bias, "base": dict(zip(BASE, weights.tolist(), strict=False)), "entries": {x: float(weights[number[x]]) for x in strong}, "posterior": posterior}
+
+
 def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> dict:
     """weights by lexicon entry and by base pattern, and the bias."""
     small_batches(docs.sparkSession)
     train = materialise(training_rows(own_columns(docs, "doc_id", "text"), own_columns(labels, "doc_id", "toxic"), train_rows), "toxic-train")
-    counts = _by_entry(train.where("toxic = 1"))
-    mined = {r["entry"]: r["n"] for r in counts.where("n >= 3").orderBy(F.desc("n"), "entry").limit(MAX_ENTRIES).collect()}
-    clean = {r["entry"]: r["n"] for r in _by_entry(train.where("toxic = 0"), frozenset(mined)).collect()}  # at most MAX_ENTRIES
     n_toxic, n_rows = train.where("toxic = 1").count(), train.count()
-    ratio = (n_rows - n_toxic + 1) / (n_toxic + 1)
-    strong = {e for e, n in mined.items() if (n + 0.5) / (clean.get(e, 0) + 0.5) * ratio >= 15}
+    strong = strong_entries(train, n_toxic, n_rows - n_toxic)
     rows = train.mapInPandas(_hits(frozenset(strong)), "doc_id long, toxic int, entries array<string>, base array<string>").collect()  # at most train_rows
-    rows.sort(key=lambda r: r["doc_id"])
-    group = {e: sum(e[:3].encode()) % GROUPS for e in strong}
-    voters = [*BASE, *(f"mined{g}" for g in range(GROUPS)), "nothing", "annotator"]
-    column = {v: i for i, v in enumerate(voters)}
-    votes = np.zeros((len(rows), len(voters)), dtype=np.int8)
-    for i, r in enumerate(rows):
-        found = {f"mined{group[e]}" for e in r["entries"] if e in group} | set(r["base"])
-        for v in found:
-            votes[i, column[v]] = 1
-        votes[i, column["nothing"]] = 0 if found else -1
-        votes[i, column["annotator"]] = 1 if r["toxic"] else -1
-    posterior, corr = label_model(votes)
-    names = [*BASE, *sorted(strong)]
-    number = {x: i for i, x in enumerate(names)}
-    features = [np.array([number[x] for x in [*r["base"], *r["entries"]] if x in number], dtype=np.int64) for r in rows]
-    weights, bias = logistic(features, posterior, len(names))
-    if not n_toxic:  # nothing to learn from: the lexicon alone
-        weights[: len(LEXICON)], bias = 3.0, -3.0
-    return {"bias": bias, "base": dict(zip(BASE, weights.tolist(), strict=False)), "entries": {x: float(weights[i]) for x, i in number.items() if x not in BASE}, "correlations": corr}
+    return fit_rows([(r["toxic"], r["entries"], r["base"]) for r in sorted(rows, key=lambda r: r["doc_id"])], strong)
 
 
 class _WordWeights(dict):
@@ -219,6 +320,7 @@ def _score(model: dict):
     lookup: list[_WordWeights] = []
 
     def score(texts: pd.Series) -> pd.Series:
+        claim("toxicity", lookup.clear)
         if not lookup:
             lookup.append(_WordWeights(model["entries"]))
         return pd.Series([score_text(t, model, lookup[0]) for t in texts], dtype="float64")
