@@ -9,8 +9,10 @@ time, joined to one string (words of Latin letters to the bare model, as they
 need no normalising or splitting); tokens that only start (or only part) chunks
 give the borders back.  Chunks with other white
 space, and texts with runs of white space, take a slower way with the same
-result.  The cache is emptied when it is full, so a worker's memory stays
-bounded whatever the vocabulary.
+result.  Texts that hold a special token of the tokenizer go to the library
+whole.  The cache has two generations of CACHE_BYTES / 2 each: what is met again
+moves to the young one, the old one is dropped when the young one is full, so a
+worker's memory stays bounded whatever the vocabulary or the length of words.
 """
 
 from __future__ import annotations
@@ -23,11 +25,15 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CACHE_CHUNKS = 1_200_000
+from ontoloom.llm.common import claim, release_memory
+
+#: Bytes of cached chunks that a worker keeps, and what an entry takes besides its characters.
+CACHE_BYTES = 128 << 20
+ENTRY_BYTES = 190
 CALL_CHUNKS = 500
 END_ID = 2
 #: Text bytes that one call encodes together.
-GATHER_BYTES = 4 << 20
+GATHER_BYTES = 2 << 20
 #: Marks a text's first chunk, which has no space before it.
 FIRST = "\x00"
 #: A word that is one token, put between chunks where white space is dropped.
@@ -58,7 +64,7 @@ class ChunkEncoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
+        self._special = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
         # The same model without normaliser and splitting rules, for words of Latin letters, which need neither.
         self._bare = Tokenizer(self._tokenizer.model)
         self._bytes = {b: c for b, c in _BYTES.items() if spaces or b != 0x20}
@@ -66,6 +72,8 @@ class ChunkEncoder:
             self._bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self._spaces = spaces
         self._cache: dict[str, bytes] = {}
+        self._old: dict[str, bytes] = {}
+        self._held = 0
         size = self._tokenizer.get_vocab_size()
         names = [self._tokenizer.id_to_token(i) or "" for i in range(size)]
         if spaces:  # byte-level names of tokens that begin with a space or line feed
@@ -144,6 +152,25 @@ class ChunkEncoder:
         for k, base, tail in tailed:
             cache[k] = cache[base] + self._tails[tail]
 
+    def _turn(self) -> dict[str, bytes]:
+        """The young generation, after it took the old one's place if it was full."""
+        if self._held > CACHE_BYTES // 2:
+            self._cache, self._old, self._held = {}, self._cache, 0
+        return self._cache
+
+    def _meet(self, keys: list[str]) -> None:
+        """Have all keys in the young generation."""
+        cache, old, before = self._cache, self._old, len(self._cache)
+        new = []
+        for k in filterfalse(cache.__contains__, keys):
+            if k in old:
+                cache[k] = old[k]
+            else:
+                new.append(k)
+        if new:
+            self._add(new)
+        self._held += (len(cache) - before) * ENTRY_BYTES + 8 * sum(map(len, new))
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Per text its ids as little-endian unsigned 32-bit integers, without an end id."""
         flat, at = self.encode_flat(texts)
@@ -155,16 +182,17 @@ class ChunkEncoder:
 
         Chunks are told apart by Arrow, so Python sees each chunk once in a call, not once an occurrence.
         """
-        cache = self._cache
-        if len(cache) > CACHE_CHUNKS:
-            cache.clear()
-        slow = [i for i, t in enumerate(texts) if t and self._spaces and (FIRST in t or _runs(t))]
+        cache = self._turn()
         odd = {}
-        for i in slow:
-            keys = None if FIRST in texts[i] else self._keys(texts[i])
-            if keys:
-                self._add(list(set(filterfalse(cache.__contains__, keys))))
-            odd[i] = b"".join(map(cache.__getitem__, keys)) if keys else self._one(texts[i])
+        for i, text in enumerate(texts):
+            if not text:
+                continue
+            if any(x in text for x in self._special) or self._spaces and FIRST in text:
+                odd[i] = self._one(text)
+            elif self._spaces and _runs(text):
+                keys = self._keys(text)
+                self._meet(list(set(keys)))
+                odd[i] = b"".join(map(cache.__getitem__, keys))
         clean = pa.array(["" if i in odd else t or "" for i, t in enumerate(texts)], pa.large_string())
         if self._spaces:
             clean = pc.binary_join_element_wise(_LEAD, pc.replace_substring(clean, "\n", " \n"), _NOTHING)
@@ -174,9 +202,7 @@ class ChunkEncoder:
         found = cut.values.dictionary_encode()
         keys = found.dictionary.to_pylist()
         cache.setdefault(FIRST if self._spaces else "", b"")
-        new = list(filterfalse(cache.__contains__, keys))
-        if new:
-            self._add(new)
+        self._meet(keys)
         raws = list(map(cache.__getitem__, keys))
         ids = np.frombuffer(b"".join(raws), dtype="<u4")
         size = np.fromiter(map(len, raws), np.int64, len(raws)) // 4
@@ -203,7 +229,8 @@ _encoders: dict[tuple[str, bool], ChunkEncoder] = {}
 
 
 def encoder(path: str, spaces: bool) -> ChunkEncoder:
-    """One encoder a worker process; later tasks find its cache filled."""
+    """One encoder a worker process; later tasks find its cache filled, until a stage with another cache comes."""
+    claim("tokens", _encoders.clear)
     key = (path, spaces)
     if key not in _encoders:
         _encoders[key] = ChunkEncoder(path, spaces)
@@ -221,6 +248,8 @@ def gathered(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterato
             held, size = [], 0
     if held:
         yield pa.concat_batches(held)
+    del held
+    release_memory()
 
 
 def encoded(texts: pa.Array, path: str, spaces: bool, end_id: int = END_ID) -> tuple[np.ndarray, np.ndarray]:

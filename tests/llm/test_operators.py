@@ -151,7 +151,6 @@ def test_packing_and_token_file(spark):
     docs, texts = odd_docs(spark, more=["  lead", "trail  ", "a\n\nb", "tab\tx  y", "wednesday", "<|endoftext|>", "\x00x", "é ́ İ. Σς"])
     path = tokens.default_path("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     ids = {i: np.array([*t.encode(x or "", add_special_tokens=False).ids, 2], dtype="<u4") for i, x in enumerate(texts)}
     got = packing.pack(docs, path).toPandas().sort_values(["sequence_id", "offset"])
     for r in got.itertuples():
@@ -162,7 +161,6 @@ def test_packing_and_token_file(spark):
     assert packing.pack(empty(spark), path).count() == 0
     path = tokens.default_path("word_bpe_49k.json")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     out = new_path(spark, "test-orc")
     token_file.write(docs, out, path)
     start = 0
