@@ -167,3 +167,84 @@ def name_checks(names: DataFrame, synonyms: DataFrame) -> DataFrame:
     twice = synonyms.groupBy("id", "label").count().where("count > 1").select("id", F.lit("duplicate_synonym")).distinct()
     other = exact.select(F.col("id").alias("_o"), "label").join(names, "label").where("_o <> id").select("id", F.lit("label_is_synonym")).distinct()
     return missing.union(again).union(twice).union(other)
+
+
+def report(found: list[DataFrame], severities: dict[str, str], default: str = "error") -> DataFrame:
+    """rule, severity, n: all checks' violations (annotation_id, rule) counted together."""
+    rows = found[0].select("rule")
+    for more in found[1:]:
+        rows = rows.union(more.select("rule"))
+    severity = F.lit(default)
+    for rule, word in severities.items():
+        severity = F.when(F.col("rule") == rule, word).otherwise(severity)
+    return rows.groupBy("rule").agg(F.count(F.lit(1)).alias("n")).select("rule", severity.alias("severity"), "n")
+
+
+def without_known(found: DataFrame, accepted: DataFrame) -> DataFrame:
+    """Violations without those that accepted (annotation_id, rule) lets stand."""
+    return found.join(accepted.select("annotation_id", "rule").distinct(), ["annotation_id", "rule"], "left_anti")
+
+
+def two_taxa(ann: DataFrame, up: DataFrame, top: str, rule: str = "two_taxa") -> DataFrame:
+    """Annotations with an interacting taxon whose class isn't top (such as multi-organism process) or under it."""
+    below = up.where(F.col("target") == top).select(F.col("source").alias("cls")).distinct()
+    return _as(ann.where("interacting_taxon is not null").join(below, "cls", "left_anti"), rule)
+
+
+def taxon_matrix(classes: DataFrame, taxa: DataFrame, up: DataFrame, only_in: DataFrame, never_in: DataFrame, closed: DataFrame) -> DataFrame:
+    """cls, taxa: for each class (cls) the taxa (taxon) in which it applies, sorted and joined by commas.
+
+    A class that no constraint reaches applies in every taxon and needs no test
+    of its pairs; the others are tested.
+    """
+    wanted = classes.select("cls").distinct()
+    held = up.join(only_in.select(F.col("cls").alias("target")).union(never_in.select("cls")).distinct(), "target", "left_semi").select(F.col("source").alias("cls")).distinct()
+    everywhere = taxa.select("taxon").distinct().agg(F.array_sort(F.collect_set("taxon")).alias("_all"))  # one row
+    free = wanted.join(held, "cls", "left_anti").join(F.broadcast(everywhere)).select("cls", F.col("_all").alias("taxa"))
+    pairs = wanted.join(held, "cls", "left_semi").join(F.broadcast(everywhere)).select("cls", F.explode("_all").alias("taxon"))
+    tested = applicable(pairs, up, only_in, never_in, closed).where("applicable").groupBy("cls").agg(F.array_sort(F.collect_set("taxon")).alias("taxa"))
+    return free.union(tested).select("cls", F.array_join("taxa", ",").alias("taxa"))
+
+
+def flagged(predicted: DataFrame, ann: DataFrame, up: DataFrame) -> DataFrame:
+    """bioentity, cls, by_annotation, by_prediction: whether an annotation, or another, more specific prediction, implies the predicted class."""
+    lift = up.select(F.col("source").alias("cls"), F.col("target").alias("_up"))
+    over = lambda df, strict: df.select("bioentity", "cls").distinct().join(lift.where("cls <> _up") if strict else lift, "cls").select("bioentity", F.col("_up").alias("cls")).distinct()
+    out = predicted.select("bioentity", "cls").distinct()
+    for name, rows in (("by_annotation", over(ann, False)), ("by_prediction", over(predicted, True))):
+        out = out.join(rows.withColumn(name, F.lit(True)), ["bioentity", "cls"], "left").withColumn(name, F.coalesce(name, F.lit(False)))
+    return out
+
+
+def unfold(ann: DataFrame, definitions: DataFrame) -> DataFrame:
+    """ann with a defined cls replaced by its genus, and extension: its other parts as relation(class), sorted and joined by commas; definitions is (cls, property, filler)."""
+    genus = definitions.where("property is null").groupBy("cls").agg(F.min("filler").alias("_genus"))
+    rest = definitions.where("property is not null").groupBy("cls").agg(F.array_join(F.array_sort(F.collect_set(F.concat("property", F.lit("("), "filler", F.lit(")")))), ",").alias("extension"))
+    out = ann.join(genus, "cls", "left").join(rest, "cls", "left")
+    return out.select(*[F.coalesce("_genus", "cls").alias("cls") if c == "cls" else F.col(c) for c in ann.columns], F.when(F.col("_genus").isNotNull(), F.col("extension")).alias("extension"))
+
+
+def folded(ann: DataFrame, definitions: DataFrame) -> DataFrame:
+    """(annotation_id, cls): known classes whose definition is exactly an annotation's class with one group of its extension."""
+    part = lambda p, f: F.concat_ws("|", p, f)
+    key = definitions.groupBy(F.col("cls").alias("_cls")).agg(F.array_join(F.array_sort(F.collect_set(part(F.coalesce("property", F.lit("")), F.col("filler")))), ";").alias("_key"))
+    groups = ann.where("size(ext) > 0").select("annotation_id", "cls", F.explode("ext").alias("_g"))
+    own = F.array_join(F.array_sort(F.array_distinct(F.concat(F.array(F.concat(F.lit("|"), "cls")), F.transform("_g", lambda s: part(s["relation"], s["cls"]))))), ";")
+    return groups.select("annotation_id", own.alias("_key")).join(key, "_key").select("annotation_id", F.col("_cls").alias("cls")).distinct()
+
+
+def to_eco(ann: DataFrame, table: DataFrame) -> DataFrame:
+    """ann with eco: the class of its evidence code and one of its refs in table (evidence, ref, eco), or of the code alone (ref null)."""
+    plain = table.where("ref is null").groupBy("evidence").agg(F.min("eco").alias("_plain"))
+    special = table.where("ref is not null").groupBy("evidence").agg(F.map_from_entries(F.collect_list(F.struct("ref", "eco"))).alias("_by_ref"))
+    out = ann.join(F.broadcast(plain), "evidence", "left").join(F.broadcast(special), "evidence", "left")  # a row an evidence code
+    by_ref = F.array_min(F.transform("refs", lambda r: F.try_element_at("_by_ref", r)))
+    return out.withColumn("eco", F.coalesce(F.when(F.col("_by_ref").isNotNull(), by_ref), F.col("_plain"))).drop("_plain", "_by_ref")
+
+
+def database_tables(ann: DataFrame) -> dict[str, DataFrame]:
+    """term, gene_product, evidence and association tables with surrogate ids, which are hashes of the names, so that tables can be made apart."""
+    key = lambda c: F.xxhash64(c)
+    named = lambda c: ann.select(F.col(c).alias("acc")).where("acc is not null").distinct().select(key("acc").alias("id"), "acc")
+    link = ann.select(F.col("annotation_id").alias("id"), key("cls").alias("term_id"), key("bioentity").alias("gene_product_id"), key("evidence").alias("evidence_id"), "date", "assigned_by")
+    return {"term": named("cls"), "gene_product": named("bioentity"), "evidence": named("evidence"), "association": link}

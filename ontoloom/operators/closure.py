@@ -1,12 +1,15 @@
-"""Reachability over edge tables (source, target): closures, roots, reduction, components, common subsumers.
+"""Reachability over edge tables (source, target): closures, walks from seeds, roots, reduction, components, common subsumers.
 
 Edges point from a class to its parent.  Null ends are ignored, repeated edges
-count once.  Closures double their paths each round, so a chain of depth d
-takes log2(d) rounds; every round is written to the shared folder.
+count once.  Whole closures double their paths each round, so a chain of depth d
+takes log2(d) rounds; walks from seeds take a round a step but touch only what
+the seeds reach.  Every round writes what it found anew to the shared folder.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,17 +21,52 @@ def clean(edges: DataFrame) -> DataFrame:
 
 
 def closure(edges: DataFrame) -> DataFrame:
-    """(source, target, distance): every pair linked by a path of one edge or more, with the shortest distance."""
-    now = settle(clean(edges).withColumn("distance", F.lit(1).cast("long")), "closure")
-    n = now.count()
+    """(source, target, distance): every pair linked by a path of one edge or more, with the shortest distance.
+
+    After a round all pairs up to distance `reach` are known.  A pair up to twice
+    as far has a middle at distance `reach` from its source, so only pairs of
+    that distance are joined with the known ones.
+    """
+    parts, reach = [settle(clean(edges).withColumn("distance", F.lit(1).cast("long")), "closure")], 1
+    while True:
+        known = reduce(DataFrame.union, parts)
+        far = parts[-1].where(F.col("distance") == reach).select("source", F.col("target").alias("_mid"))
+        onward = known.select(F.col("source").alias("_mid"), "target", (F.col("distance") + reach).alias("distance"))
+        longer = far.join(onward, "_mid").groupBy("source", "target").agg(F.min("distance").alias("distance"))
+        new = settle(longer.join(known, ["source", "target"], "left_anti"), "closure")
+        if new.isEmpty():
+            return known
+        parts.append(new)
+        reach *= 2
+
+
+def walk(edges: DataFrame, seeds: DataFrame, down: bool = False) -> DataFrame:
+    """(seed, node, distance): all that seeds (node) reach by one edge or more, upwards or down; a seed on a cycle reaches itself."""
+    here, there = ("target", "source") if down else ("source", "target")
+    step = settle(clean(edges).select(F.col(here).alias("_at"), F.col(there).alias("_to")), "steps")
+    front, parts, hops = settle(seeds.select(F.col("node").alias("seed"), F.col("node").alias("node")).where("node is not null").distinct(), "walk"), [], 0
     while True:
-        step = now.alias("a").join(now.alias("b"), F.col("a.target") == F.col("b.source"))
-        step = step.select("a.source", "b.target", (F.col("a.distance") + F.col("b.distance")).alias("distance"))
-        after = settle(now.union(step).groupBy("source", "target").agg(F.min("distance").alias("distance")), "closure")
-        state = after.agg(F.count(F.lit(1)), F.sum("distance")).first()
-        if state[0] == n and state[1] == now.agg(F.sum("distance")).first()[0]:
-            return after
-        now, n = after, state[0]
+        hops += 1
+        new = front.join(step, F.col("node") == F.col("_at")).select("seed", F.col("_to").alias("node")).distinct()
+        if parts:
+            new = new.join(reduce(DataFrame.union, parts), ["seed", "node"], "left_anti")
+        front = settle(new.withColumn("distance", F.lit(hops).cast("long")), "walk")
+        parts.append(front)
+        if front.isEmpty():
+            return reduce(DataFrame.union, parts)
+        front = front.select("seed", "node")
+
+
+def reached(edges: DataFrame, seeds: DataFrame, down: bool = False) -> DataFrame:
+    """(node): seeds (node) and all that they reach; a node is expanded once, whichever seed reaches it."""
+    here, there = ("target", "source") if down else ("source", "target")
+    step = settle(clean(edges).select(F.col(here).alias("node"), F.col(there).alias("_to")), "steps")
+    parts = [settle(seeds.select("node").where("node is not null").distinct(), "reached")]
+    while True:
+        new = parts[-1].join(step, "node").select(F.col("_to").alias("node")).distinct()
+        parts.append(settle(new.join(reduce(DataFrame.union, parts), "node", "left_anti"), "reached"))
+        if parts[-1].isEmpty():
+            return reduce(DataFrame.union, parts)
 
 
 def nodes(edges: DataFrame) -> DataFrame:
@@ -42,12 +80,17 @@ def reflexive(edges: DataFrame, closed: DataFrame | None = None) -> DataFrame:
     return closed.where("source <> target").union(own)
 
 
+def _one(edges: DataFrame, node) -> DataFrame:
+    kind = edges.schema["source"].dataType.simpleString()
+    return edges.sparkSession.createDataFrame([(node,)], f"node {kind}")
+
+
 def ancestors(edges: DataFrame, node) -> DataFrame:
-    return closure(edges).where(F.col("source") == node).select(F.col("target").alias("node"), "distance")
+    return walk(edges, _one(edges, node)).select("node", "distance")
 
 
 def descendants(edges: DataFrame, node) -> DataFrame:
-    return closure(edges).where(F.col("target") == node).select(F.col("source").alias("node"), "distance")
+    return walk(edges, _one(edges, node), down=True).select("node", "distance")
 
 
 def roots(edges: DataFrame) -> DataFrame:
@@ -68,23 +111,72 @@ def neighbours(edges: DataFrame) -> DataFrame:
 
 
 def reduction(edges: DataFrame) -> DataFrame:
-    """Edges of an acyclic graph that no longer path implies."""
-    edges = clean(edges)
-    longer = closure(edges).select(F.col("source").alias("mid"), "target")
-    implied = edges.withColumnRenamed("target", "mid").join(longer, "mid").select("source", "target")
+    """Edges of an acyclic graph that no longer path implies.
+
+    Only sources with several parents can have such edges, so only their parents are walked from.
+    """
+    edges = settle(clean(edges), "reduction")
+    several = edges.groupBy("source").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("source")
+    doubtful = edges.join(several, "source", "left_semi")
+    above = walk(edges, doubtful.select(F.col("target").alias("node"))).select(F.col("seed").alias("mid"), F.col("node").alias("target"))
+    implied = doubtful.withColumnRenamed("target", "mid").join(above, "mid").select("source", "target")
     return edges.join(implied, ["source", "target"], "left_anti")
 
 
+def _trimmed(edges: DataFrame) -> DataFrame:
+    """Edges between nodes that have edges both ways, which all those of a cycle have."""
+    n = edges.count()
+    while n:
+        alive = edges.select(F.col("source").alias("node")).intersect(edges.select("target"))
+        for end in ("source", "target"):
+            edges = edges.join(alive.withColumnRenamed("node", end), end, "left_semi")
+        edges = settle(edges.select("source", "target"), "trimmed")
+        last, n = n, edges.count()
+        if n == last:
+            break
+    return edges
+
+
+def _coloured(edges: DataFrame) -> DataFrame:
+    """(node, colour): the smallest node that reaches the node, or itself."""
+    now = settle(nodes(edges).select("node", F.col("node").alias("colour"), F.lit(True).alias("moved")), "colours")
+    while not now.where("moved").isEmpty():
+        passed = now.where("moved").select(F.col("node").alias("source"), "colour").join(edges, "source").groupBy(F.col("target").alias("node")).agg(F.min("colour").alias("_c"))
+        now = settle(now.join(passed, "node", "left").select("node", F.least("colour", F.coalesce("_c", "colour")).alias("colour"), F.coalesce(F.col("_c") < F.col("colour"), F.lit(False)).alias("moved")), "colours")
+    return now.select("node", "colour")
+
+
+def _cycles(edges: DataFrame) -> DataFrame:
+    """(node, component) of nodes on cycles of two nodes or more; the component's name is its smallest node.
+
+    Nodes get the colour of the smallest node that reaches them; what reaches
+    that node within its colour is its component.  Then the rest goes on.
+    """
+    left = _trimmed(settle(clean(edges).where("source <> target"), "cycles"))
+    found = []
+    while not left.isEmpty():
+        colour = _coloured(left)
+        inside = left.join(colour.toDF("source", "_a"), "source").join(colour.toDF("target", "_b"), "target").where("_a = _b")
+        back = reached(inside.select("source", "target"), colour.where("node = colour").select("node"), down=True)
+        part = settle(colour.join(back, "node", "left_semi").select("node", F.col("colour").alias("component")), "components")
+        found.append(part)
+        for end in ("source", "target"):
+            left = left.join(part.select(F.col("node").alias(end)), end, "left_anti")
+        left = _trimmed(settle(left.select("source", "target"), "cycles"))
+    if not found:
+        return left.select(F.col("source").alias("node"), F.col("target").alias("component"))
+    all_of = reduce(DataFrame.union, found)
+    return all_of.join(all_of.groupBy("component").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"), "component", "left_semi").select("node", "component")
+
+
 def strong_components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable both ways; a node on no cycle is its own component."""
-    closed = closure(edges).select("source", "target")
-    both = closed.join(closed.select(F.col("target").alias("source"), F.col("source").alias("target")), ["source", "target"], "left_semi")
-    low = both.groupBy(F.col("source").alias("node")).agg(F.min("target").alias("low"))
-    return nodes(edges).join(low, "node", "left").select("node", F.least("node", F.coalesce("low", "node")).alias("component"))
+    return nodes(edges).join(_cycles(edges), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
 def on_cycles(edges: DataFrame) -> DataFrame:
-    return closure(edges).where("source = target").select(F.col("source").alias("node"))
+    loops = clean(edges).where("source = target").select(F.col("source").alias("node"))
+    return _cycles(edges).select("node").union(loops).distinct()
 
 
 def non_redundant(sets: DataFrame, closed: DataFrame, key: str, item: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ontoloom.functions.parsing import id_space
 from ontoloom.operators import closure as C
+from ontoloom.plans.session import settle
 
 
 def _both(edges: DataFrame, keep: DataFrame) -> DataFrame:
@@ -21,22 +22,18 @@ def _both(edges: DataFrame, keep: DataFrame) -> DataFrame:
 
 def filter_subgraph(edges: DataFrame, tops: DataFrame) -> DataFrame:
     """Edges among tops (node), their descendants and their ancestors; an ancestor keeps only edges to kept nodes."""
-    up = C.reflexive(edges)
-    below = up.join(tops.select(F.col("node").alias("target")), "target", "left_semi").select(F.col("source").alias("node"))
-    above = up.join(tops.select(F.col("node").alias("source")), "source", "left_semi").select(F.col("target").alias("node"))
-    return _both(C.clean(edges), below.union(above).distinct())
+    return _both(C.clean(edges), C.reached(edges, tops, down=True).union(C.reached(edges, tops)).distinct())
 
 
 def remove_subgraph(edges: DataFrame, tops: DataFrame, keep_shared: bool = False) -> DataFrame:
     """Edges without tops (node) and their descendants; with keep_shared a descendant that also reaches a root by a path that avoids tops stays."""
-    edges = C.clean(edges)
+    edges = settle(C.clean(edges), "edges")
     top = tops.select("node").distinct()
-    gone = C.reflexive(edges).join(top.withColumnRenamed("node", "target"), "target", "left_semi").select(F.col("source").alias("node")).distinct()
+    gone = C.reached(edges, top, down=True)
     if keep_shared:
         rest = edges.join(top.withColumnRenamed("node", "target"), "target", "left_anti").join(top.withColumnRenamed("node", "source"), "source", "left_anti")
-        outside = C.nodes(edges).join(gone, "node", "left_anti").withColumnRenamed("node", "target")
-        shared = C.reflexive(rest).join(outside, "target", "left_semi").select(F.col("source").alias("node"))
-        gone = gone.join(shared.distinct(), "node", "left_anti")
+        outside = C.nodes(edges).join(gone, "node", "left_anti")
+        gone = gone.join(C.reached(rest.select("source", "target"), outside, down=True), "node", "left_anti")
     return _both(edges, C.nodes(edges).join(gone, "node", "left_anti"))
 
 
@@ -85,14 +82,15 @@ def external_references(edges: DataFrame, declared: DataFrame) -> DataFrame:
 
 def reference_closure(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """seeds (node) and all their ancestors: what a self-contained import has to hold."""
-    up = C.closure(edges).join(seeds.select(F.col("node").alias("source")).distinct(), "source", "left_semi")
-    return seeds.select("node").union(up.select(F.col("target").alias("node"))).distinct()
+    return C.reached(edges, seeds)
 
 
 def redundant_with_witness(edges: DataFrame) -> DataFrame:
     """source, target, witnesses: asserted edges that a path over other parents implies, and those parents."""
-    edges = C.clean(edges)
-    longer = C.closure(edges).where("source <> target").select(F.col("source").alias("mid"), "target")
+    edges = settle(C.clean(edges), "edges")
+    several = edges.groupBy("source").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("source")
+    mids = edges.join(several, "source", "left_semi").select(F.col("target").alias("node"))
+    longer = C.walk(edges, mids).where("seed <> node").select(F.col("seed").alias("mid"), F.col("node").alias("target"))
     hit = edges.withColumnRenamed("target", "mid").join(longer, "mid").join(edges, ["source", "target"], "left_semi")
     return hit.groupBy("source", "target").agg(F.array_join(F.array_sort(F.collect_set(F.col("mid").cast("string"))), ",").alias("witnesses"))
 

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ontoloom.plans.session import settle
+
 
 def inferred(marks: DataFrame, up: DataFrame) -> DataFrame:
     """(element, attribute) with all ancestors, each once."""
@@ -79,31 +81,16 @@ def co_annotation(full: DataFrame, within: DataFrame) -> DataFrame:
 
 
 def enrichment(full: DataFrame, sample: DataFrame) -> DataFrame:
-    """Hypergeometric P(X >= k) of each attribute in the sample (element), Bonferroni-corrected over the attributes tested.
+    """Hypergeometric P(X >= k) of each attribute in the sample (element), Bonferroni-corrected over the attributes tested."""
+    from ontoloom.operators.comparisons import hypergeometric_tail
 
-    Summed in log space over log-factorials; an attribute's row expands into its tail alone.
-    """
     size = full.agg(F.count_distinct("element").alias("m"))
     drawn = full.join(sample.distinct(), "element", "left_semi")
     n_drawn = drawn.agg(F.count_distinct("element").alias("n"))
     k = frequencies(drawn).withColumnRenamed("n_elements", "k")
-    rows = frequencies(full).withColumnRenamed("n_elements", "c").where("c > 1").join(k, "attribute").join(F.broadcast(size)).join(F.broadcast(n_drawn))
-    logf = lambda x: _log_factorial(x)
-    tail = rows.withColumn("x", F.explode(F.sequence("k", F.least("c", "n")))).where(F.col("n") - F.col("x") <= F.col("m") - F.col("c"))
-    choose = lambda n, r: logf(n) - logf(r) - logf(n - r)
-    term = choose(F.col("c"), F.col("x")) + choose(F.col("m") - F.col("c"), F.col("n") - F.col("x")) - choose(F.col("m"), F.col("n"))
-    found = tail.groupBy("attribute", "k", "c").agg(F.sum(F.exp(term)).alias("p"))
-    tests = rows.agg(F.count(F.lit(1)).alias("tests"))
-    return found.join(F.broadcast(tests)).select("attribute", "k", "c", F.least(F.col("p"), F.lit(1.0)).alias("p"), F.least(F.col("p") * F.col("tests"), F.lit(1.0)).alias("p_corrected"))
-
-
-def _log_factorial(n):
-    """ln n!, summed below 16 and by Stirling's series above (error under 1e-13)."""
-    x = n.cast("double") + 1
-    y = F.when(x < 16, x + 16).otherwise(x)
-    series = (y - 0.5) * F.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5)
-    down = sum((F.log(x + i) for i in range(1, 16)), F.log(x))
-    return F.when(x < 16, series - down).otherwise(series)
+    rows = settle(frequencies(full).withColumnRenamed("n_elements", "c").where("c > 1").join(k, "attribute").join(F.broadcast(size)).join(F.broadcast(n_drawn)), "tested")
+    found = rows.withColumn("p", hypergeometric_tail(full.sparkSession)("k", "c", "n", "m"))
+    return found.select("attribute", "k", "c", "p", F.least(F.col("p") * F.lit(rows.count()), F.lit(1.0)).alias("p_corrected"))
 
 
 def element_statistics(full: DataFrame, ic: DataFrame) -> DataFrame:

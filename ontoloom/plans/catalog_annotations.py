@@ -10,7 +10,7 @@ from ontoloom.operators import closure as C
 from ontoloom.operators import rewrite as R
 from ontoloom.operators import similarity as S
 from ontoloom.plans import derived as D
-from ontoloom.plans.register import query, up_sql
+from ontoloom.plans.register import SQL, query, up_sql
 
 _ANN = f"ann AS ({D.ANNOTATIONS})"
 _UP = up_sql(D.PART) + ", " + _ANN
@@ -208,7 +208,10 @@ def name_checks(spark, d):
     return A.name_checks(names, rows)
 
 
-@query("enrichment_filtered")
+_ENRICHED = SQL["class_enrichment"].rpartition(" SELECT attribute, k, c, round(")[0]
+
+
+@query("enrichment_filtered", _ENRICHED + " SELECT attribute, k, c, round(least(p, 1), 6) AS p, round(least(p * (SELECT count(*) FROM g), 1), 6) AS p_corrected FROM p WHERE NOT EXISTS (SELECT 1 FROM p o JOIN closed z ON z.source = o.attribute AND z.target = p.attribute AND z.source <> z.target WHERE round(o.p, 12) < round(p.p, 12))")
 def enrichment_filtered(spark, d):
     full = S.inferred(D.marks(spark, d), _up(spark, d)).where("attribute not like 'P:%'")
     sample = spark.read.parquet(f"{d}/orders.parquet").where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("element"))
