@@ -47,7 +47,7 @@ HUBS, TRIES = 1, 3
 #: Members of a band that one part holds, about; two parts are compared in about a second.
 CELL = 1024
 #: Rounds in which only each label's likeliest pair is confirmed.
-EARLY_ROUNDS = 4
+EARLY_ROUNDS = 2
 #: A wider sketch for representatives whose bands still join different groups.
 WIDE, WIDE_BITS, WIDE_MARGIN = 2048, 2, 0.048
 
@@ -253,10 +253,11 @@ def _links(met: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     edges, last = None, False
     rest = materialise(met, "met")
     for early in range(EARLY_ROUNDS, -1, -1):
-        labels = rest.select(F.explode(F.array("label_a", "label_b")).alias("label"), F.struct("est", "a", "b").alias("pair"))
-        n_labels = labels.agg(F.approx_count_distinct("label")).first()[0]
-        few = last or not early or rest.count() <= 4 * n_labels
-        tested = rest if few else materialise(labels.groupBy("label").agg(F.max("pair").alias("pair")).select("pair.a", "pair.b").distinct(), "likeliest")
+        best = F.max(F.struct("est", "a", "b")).alias("pair")
+        sides = [rest.groupBy(F.col(f"label_{x}").alias("label")).agg(best) for x in "ab"]
+        likeliest = materialise(sides[0].union(sides[1]).groupBy("label").agg(F.max("pair").alias("pair")), "likeliest")
+        few = last or not early or rest.count() <= 4 * likeliest.count()
+        tested = rest if few else likeliest.select("pair.a", "pair.b").distinct()
         good = _confirmed(tested.select("a", "b"), docs, k, percent)
         good = materialise(good.join(rest, ["a", "b"]).select(F.col("label_a").alias("u"), F.col("label_b").alias("v")).distinct(), "links")
         edges = good if edges is None else edges.union(good)
