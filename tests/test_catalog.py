@@ -6,7 +6,7 @@ from collections import Counter
 import duckdb
 import pytest
 
-from ontoloom.plans import catalog
+from ontoloom.plans import catalog, catalog_edges
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events".split()
@@ -26,6 +26,17 @@ def con():
     return c
 
 
+@pytest.fixture(scope="module", autouse=True)
+def shared():
+    """Tables that many queries derive anew are derived once here; the queries' own ways stay."""
+    patch, made = pytest.MonkeyPatch(), {}
+    for name in ("_edges", "_closed", "_saturated"):
+        f = getattr(catalog_edges, name)
+        patch.setattr(catalog_edges, name, lambda spark, d, f=f: made.setdefault(f, None) or made.__setitem__(f, f(spark, d)) or made[f])
+    yield
+    patch.undo()
+
+
 @pytest.mark.parametrize("name", sorted(catalog.SQL))
 def test_against_sql(spark, con, name):
     df = catalog.QUERIES[name](spark, DATA)
