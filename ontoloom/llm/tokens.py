@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from ontoloom.llm.common import claim, release_memory
 
 #: Bytes of cached chunks that a worker keeps, and what an entry takes besides its characters.
-CACHE_BYTES = 128 << 20
+CACHE_BYTES = 192 << 20
 ENTRY_BYTES = 190
 CALL_CHUNKS = 500
 END_ID = 2
