@@ -139,16 +139,16 @@ class LabelModel:
         """Voters a < b that fire together: their numbers, and the rows where they do."""
         size = np.bincount(self.row, minlength=self.n)
         start = np.cumsum(size) - size
-        a, b, where = [], [], []
+        many = int((size * (size - 1) // 2).sum())
+        code, self.pair_row, done = np.empty(many, np.int64), np.empty(many, np.int32), 0
         for i in np.flatnonzero(size > 1):
             mine = self.voter[start[i] : start[i] + size[i]]
             x, y = np.triu_indices(len(mine), 1)
-            a.append(mine[x])
-            b.append(mine[y])
-            where.append(np.full(len(x), i))
-        join = lambda parts: np.concatenate([*parts, np.zeros(0)]).astype(np.int64)
-        self.pair, self.pair_at = np.unique(join(a) * self.m + join(b), return_inverse=True)
-        self.pair_row = join(where)
+            code[done : done + len(x)] = mine[x] * self.m + mine[y]
+            self.pair_row[done : done + len(x)] = i
+            done += len(x)
+        self.pair = np.unique(code)
+        self.pair_at = np.searchsorted(self.pair, code).astype(np.int32)
 
     def _table(self, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
         """Weighted rows where each voter fires, where each pair does, and all."""
@@ -205,17 +205,24 @@ class LabelModel:
 
     def _states(self) -> None:
         """(row, voter) that fire with a parent that fires, without, and that don't fire while their parent does."""
-        child_of: list[list[int]] = [[] for _ in range(self.m)]
-        for c, p in enumerate(self.parent):
-            if p >= 0:
-                child_of[p].append(c)
-        fired = set((self.row * self.m + self.voter).tolist())
-        code = self.row * self.m + np.where(self.parent[self.voter] >= 0, self.parent[self.voter], self.voter)
-        up = (self.parent[self.voter] >= 0) & np.fromiter((c in fired for c in code.tolist()), bool, len(code))
+        fired = np.sort(self.row * self.m + self.voter)
+
+        def fires(row: np.ndarray, voter: np.ndarray) -> np.ndarray:
+            code = row * self.m + voter
+            at = np.minimum(np.searchsorted(fired, code), max(len(fired) - 1, 0))
+            return fired[at] == code if len(fired) else np.zeros(0, bool)
+
+        parent = self.parent[self.voter]
+        up = (parent >= 0) & fires(self.row, np.maximum(parent, 0))
         self.with_parent = (self.row[up], self.voter[up])
         self.alone = (self.row[~up], self.voter[~up])
-        quiet = [(r, c) for r, v in zip(self.row.tolist(), self.voter.tolist(), strict=True) for c in child_of[v] if r * self.m + c not in fired]
-        self.quiet = (np.array([r for r, _ in quiet], dtype=np.int64), np.array([c for _, c in quiet], dtype=np.int64))
+        children = np.argsort(self.parent, kind="stable")
+        first, last = (np.searchsorted(self.parent[children], self.voter, side=s) for s in ("left", "right"))
+        n = last - first
+        row = np.repeat(self.row, n)
+        child = children[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+        calm = ~fires(row, child)
+        self.quiet = (row[calm], child[calm])
 
     def _tables(self, weight: np.ndarray) -> np.ndarray:
         """Per voter its chance to fire where its parent doesn't and where it does."""
@@ -271,12 +278,24 @@ def logistic(rows: list[np.ndarray], target: np.ndarray, n_features: int, l2: fl
     return w, float(b)
 
 
+def distinct_voters(fired: list[np.ndarray], n: int) -> tuple[np.ndarray, int]:
+    """A number for each of n entries, the same for those that stand in the same rows (a word and its beginnings mostly do): they are one voter."""
+    rows: list[list[int]] = [[] for _ in range(n)]
+    for i, f in enumerate(fired):
+        for v in f.tolist():
+            rows[v].append(i)
+    known: dict[tuple[int, ...], int] = {}
+    number = np.array([known.setdefault(tuple(r), len(known)) for r in rows], dtype=np.int64)
+    return number, len(known)
+
+
 def fit_rows(rows: list[tuple[int, list[str], list[str]]], strong: list[str]) -> dict:
     """The model from training rows (toxic, entries, base patterns): label model, then classifier."""
     names = [*BASE, *strong]
     number = {x: i for i, x in enumerate(names)}
     fired = [np.array(sorted({number[x] for x in [*base, *entries]}), dtype=np.int64) for _, entries, base in rows]
-    posterior = LabelModel(fired, len(names)).fit(np.array([float(toxic) for toxic, _, _ in rows]))
+    voter, n_voters = distinct_voters(fired, len(names))
+    posterior = LabelModel([np.unique(voter[f]) for f in fired], n_voters).fit(np.array([float(toxic) for toxic, _, _ in rows]))
     weights, bias = logistic(fired, posterior, len(names))
     if not any(toxic for toxic, _, _ in rows):  # nothing to learn from: the lexicon alone
         weights[: len(BASE)], bias = 3.0, -3.0
