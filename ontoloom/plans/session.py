@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _PACKAGE = Path(__file__).resolve().parents[1]
+#: Per Spark application the folders of its intermediate tables; the last one takes new tables.
+_folders: dict[str, list[str]] = {}
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -26,19 +31,68 @@ def ship_package(spark: SparkSession) -> None:
     sc._ontoloom_shipped = True
 
 
+def _eraser(spark: SparkSession, path: str):
+    """A call that deletes path, also when the session has been stopped by then."""
+    sc = spark.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    system = at.getFileSystem(sc._jsc.hadoopConfiguration())
+
+    def erase() -> None:
+        with contextlib.suppress(Exception):  # the JVM may be gone
+            system.delete(at, True)
+
+    return erase
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    _eraser(spark, path)()
+
+
+def shared_root(spark: SparkSession) -> str:
+    """This application's folder for intermediate tables, under spark.checkpoint.dir; deleted when the process ends.
+
+    Where the setting is absent (one machine, as in tests), it lies in a local temporary folder.
+    """
+    sc = spark.sparkContext
+    held = _folders.setdefault(sc.applicationId, [])
+    if not held:
+        base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+        if not base:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            base = "file://" + tempfile.mkdtemp(prefix="ontoloom-")
+        held.append(f"{base.rstrip('/')}/ontoloom-{uuid.uuid4().hex}")
+        atexit.register(_eraser(spark, held[0]))
+    return held[-1]
+
+
 def shared_path(spark: SparkSession, label: str) -> str:
-    """A new path in the folder of spark.checkpoint.dir; where that is unset (one machine), in a local folder."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="ontoloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A new path in the folder of the innermost run_folder(), or else of the application."""
+    return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+@contextlib.contextmanager
+def run_folder(spark: SparkSession) -> Iterator[None]:
+    """Intermediate tables made inside are deleted at the end: write or collect the results before it."""
+    path = shared_path(spark, "run")
+    held = _folders[spark.sparkContext.applicationId]
+    held.append(path)
+    try:
+        yield
+    finally:
+        held.remove(path)
+        delete_path(spark, path)
 
 
 def settle(df: DataFrame, label: str) -> DataFrame:
     """Write df and read it again: an iteration's lineage is cut, and lost executors cost no recomputation."""
     path = shared_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found._ontoloom_path = path
+    return found
+
+
+def discard(table: DataFrame) -> None:
+    """Delete the files of a settled table that nothing reads any more, such as the last round of an iteration."""
+    delete_path(table.sparkSession, table._ontoloom_path)
