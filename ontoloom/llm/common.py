@@ -4,15 +4,13 @@ from __future__ import annotations
 
 import ctypes
 import re
-import tempfile
-import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ontoloom.plans.session import ship_package
+from ontoloom.plans.session import delete_path, shared_path, ship_package
 
 #: A word is a run of characters other than space and \t \n \v \f \r.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -36,21 +34,8 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset (tests on one machine), a local one."""
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if not found:
-        if not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="ontoloom-")
-        sc.setCheckpointDir(found)
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def new_path(spark: SparkSession, label: str) -> str:
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = shared_path(spark, label)
     _made.append(path)
     return path
 
@@ -65,21 +50,19 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return found
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def discard(table: DataFrame) -> None:
     """Delete the files of a materialised table that nothing reads any more, such as the last round of an iteration."""
-    _delete(table.sparkSession, table._ontoloom_path)
+    delete_path(table.sparkSession, table._ontoloom_path)
     _made.remove(table._ontoloom_path)
 
 
 def cleanup(spark: SparkSession) -> None:
-    """Delete the intermediate tables that this process made; results that still read them must be written first."""
+    """Delete the intermediate tables that this process made; results that still read them must be written first.
+
+    Tables made inside `ontoloom.plans.session.run_folder` go at its end, all others when the process ends.
+    """
     for path in _made:
-        _delete(spark, path)
+        delete_path(spark, path)
     _made.clear()
 
 
