@@ -32,15 +32,16 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ontoloom.llm.common import BATCH_ROWS, materialise, own_columns, ship_package, table
+from ontoloom.llm.common import materialise, own_columns, ship_package, table
 
 LEAST_DOCS = 10
 TOP = 10
 #: Groups (lang, source) up to this many rows are broadcast (about 10 MB); more are shuffled.
 BROADCAST_GROUPS = 100_000
-#: Terms that a task holds before it hands them on, pairs of sources that a scan makes at a time, bytes of an Arrow batch.
+#: Terms that a task holds before it hands them on, pairs of sources that a scan makes at a time, rows and bytes of an Arrow batch.
 HELD_TERMS = 200_000
 HELD_PAIRS = 1_000_000
+BATCH_ROWS = 10_000
 BATCH_BYTES = 1 << 20
 #: Letters stay, A-Z in lower case, all bytes of other characters stay, the rest parts terms.
 _TERMS = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
@@ -168,7 +169,7 @@ def term_runs(docs: DataFrame) -> DataFrame:
     """(lang, term, source, df, n): in how many documents of a source a term stands, and how often."""
     spark = docs.sparkSession
     ship_package(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(40 * BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     rows = docs.select(*(F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("lang", "source", "text")), F.monotonically_increasing_id().alias("document"))
     dealt = rows.mapInArrow(_local, RUNS).repartition("lang", "term").sortWithinPartitions("lang", "term", "source", "document")

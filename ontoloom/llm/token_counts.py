@@ -61,7 +61,7 @@ def _counts_of(path: str) -> Callable[[list[str | None]], np.ndarray]:
     from tokenizers import Tokenizer
 
     names = Tokenizer.from_file(path).get_vocab(with_added_tokens=False)
-    spaces = "Ġ" in names  # byte-level vocabularies hold the space
+    spaces = "a</w>" not in names  # word-end vocabularies drop white space
     return lambda texts: np.diff(tokens.encoder(path, spaces).encode_flat(texts)[1])
 
 
