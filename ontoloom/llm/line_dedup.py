@@ -1,6 +1,7 @@
-"""Cross-site boilerplate lines, by distinct-site spread.
+r"""Cross-site boilerplate lines, by distinct-site spread.
 
-A line is keyed by two 64-bit hashes of its trimmed text.  HyperLogLog sketches
+A line is keyed by two 64-bit hashes of its text without white space (blank, \t \v \f
+\r) at its ends.  HyperLogLog sketches
 of the sites that show a line merge by aggregation; lines whose estimate is
 near the threshold get an exact distinct count, so the estimate's error decides
 nothing.  A line on at least `min_sites` sites is boilerplate: its first
@@ -24,6 +25,8 @@ from ontoloom.llm.common import BROADCAST_IDS, let, materialise, own_columns, ta
 MIN_SITES = 10
 #: Sketches of 2 ** LG_K registers err by about 1.04 / sqrt(2 ** LG_K) (7 %); BAND is over four times that.
 LG_K, BAND = 8, 0.3
+#: What a line's ends lose before it is compared.
+_WHITE = " \t\v\f\r"
 
 
 def _lines(text: Column) -> Column:
@@ -33,7 +36,7 @@ def _lines(text: Column) -> Column:
 def line_keys(docs: DataFrame, text: str = "text", site: str = "source") -> DataFrame:
     """One row a line with a word: doc_id, t (the text's hash), site, pos, h1, h2."""
     lines = docs.select("doc_id", F.xxhash64(text).alias("t"), F.col(site).alias("site"), F.posexplode(_lines(F.col(text))).alias("pos", "_line"))
-    lines = lines.select("doc_id", "t", "site", "pos", F.trim("_line").alias("_line")).where("_line != ''")
+    lines = lines.select("doc_id", "t", "site", "pos", F.btrim("_line", F.lit(_WHITE)).alias("_line")).where("_line != ''")
     return lines.select("doc_id", "t", "site", "pos", F.xxhash64("_line").alias("h1"), F.xxhash64(F.lit("second"), "_line").alias("h2"))
 
 
@@ -105,7 +108,7 @@ OP3_SQL = f"""
 WITH split AS (
   SELECT doc_id, source, string_split(text, chr(10)) AS parts FROM documents
 ), lines AS (
-  SELECT doc_id, source, i - 1 AS pos, parts[i] AS raw, trim(parts[i], ' ') AS line
+  SELECT doc_id, source, i - 1 AS pos, parts[i] AS raw, trim(parts[i], ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS line
   FROM (SELECT doc_id, source, parts, unnest(range(1, len(parts) + 1)) AS i FROM split)
 ), wide AS (
   SELECT line, min((doc_id, pos)) AS first FROM lines WHERE line <> ''

@@ -30,6 +30,13 @@ def test_lines_of_rows_that_share_a_doc_id(spark):
     assert all(r.text == f"own {r.doc_id}" for r in got if r.doc_id and r.doc_id >= 100) and len(got) == len(rows)
 
 
+def test_line_dedup_ignores_white_space_at_ends(spark):
+    ends = ["{}", "\t{}", "{}\r", " {}\f", "\v{} ", "{}"]
+    rows = [(i, f"own words {i}\n" + ends[i % 6].format("boiler line"), f"site{i}") for i in range(18)]
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got[0].n_removed == 0 and all(got[i].text == f"own words {i}" for i in range(1, 18))
+
+
 def test_line_dedup_keeps_columns_of_any_name(spark):
     names = ["_gone", "n_removed", "n_lines", "_d", "_t", "h1", "pos", "first", "c0", "found", "row"]
     docs = spark.createDataFrame([(i, "menu\nown", f"s{i}", 4, *["v"] * len(names)) for i in range(12)], "doc_id long, text string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names))
