@@ -392,7 +392,8 @@ def _framed(first: str, last: str):
     def framed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = lambda text: pa.RecordBatch.from_arrays([pa.array([text])], names=["value"])
         yield one(first)
-        yield from batches
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0)], names=["value"])
         yield one(last)
 
     return framed
