@@ -2,8 +2,9 @@
 
 Edges point from a class to its parent.  Null ends are ignored, repeated edges
 count once.  Whole closures double their paths each round, so a chain of depth d
-takes log2(d) rounds; walks from seeds take a round a step but touch only what
-the seeds reach.  Every round writes what it found anew to the shared folder.
+takes log2(d) rounds; walks from seeds touch only what the seeds reach, take
+several steps a round, and double their steps where they are long.  Every round
+writes what it found anew to the shared folder.
 """
 
 from __future__ import annotations
@@ -15,6 +16,9 @@ from pyspark.sql import functions as F
 
 from ontoloom.plans.session import settle
 
+#: Steps of a walk in one round, and rounds before jumps are doubled.
+HOPS, SHORT = 8, 3
+
 
 def clean(edges: DataFrame) -> DataFrame:
     return edges.select("source", "target").where("source is not null and target is not null").distinct()
@@ -40,33 +44,67 @@ def closure(edges: DataFrame) -> DataFrame:
         reach *= 2
 
 
-def walk(edges: DataFrame, seeds: DataFrame, down: bool = False) -> DataFrame:
-    """(seed, node, distance): all that seeds (node) reach by one edge or more, upwards or down; a seed on a cycle reaches itself."""
-    here, there = ("target", "source") if down else ("source", "target")
-    step = settle(clean(edges).select(F.col(here).alias("_at"), F.col(there).alias("_to")), "steps")
-    front, parts, hops = settle(seeds.select(F.col("node").alias("seed"), F.col("node").alias("node")).where("node is not null").distinct(), "walk"), [], 0
+def _hops(front: DataFrame, step: DataFrame, n: int) -> DataFrame:
+    """(seed, node, distance) of one to n steps (_at, _to) from front, with the least distance, in one plan."""
+    now, out = front, []
+    for _ in range(n):
+        now = now.join(step, F.col("node") == F.col("_at")).select("seed", F.col("_to").alias("node"), (F.col("distance") + 1).alias("distance")).distinct()
+        out.append(now)
+    return reduce(DataFrame.union, out).groupBy("seed", "node").agg(F.min("distance").alias("distance"))
+
+
+def _jumps(step: DataFrame) -> DataFrame:
+    """(_at, _to, hops) of one to HOPS steps."""
+    ends = step.select(F.col("_at").alias("seed"), F.col("_to").alias("node"), F.lit(1).cast("long").alias("distance"))
+    more = ends.union(_hops(ends, step, HOPS - 1)) if HOPS > 1 else ends
+    every = more.groupBy("seed", "node").agg(F.min("distance").alias("hops"))
+    return settle(every.select(F.col("seed").alias("_at"), F.col("node").alias("_to"), "hops"), "jumps")
+
+
+def _grown(step: DataFrame, front: DataFrame) -> DataFrame:
+    """(seed, node, distance): all that front (seed, node, distance 0) reaches by one step or more.
+
+    A round takes HOPS steps in one plan.  Walks longer than SHORT rounds go on
+    with jumps that double their reach, so that a chain of depth d takes log2(d) rounds.
+    """
+    parts, done, reach, jumps = [], 0, HOPS, None
     while True:
-        hops += 1
-        new = front.join(step, F.col("node") == F.col("_at")).select("seed", F.col("_to").alias("node")).distinct()
+        if len(parts) < SHORT:
+            new = _hops(front, step, HOPS)
+        else:
+            if jumps is None:
+                jumps = _jumps(step)
+            else:
+                far = jumps.where(F.col("hops") == reach).select("_at", F.col("_to").alias("_mid"))
+                onward = jumps.select(F.col("_at").alias("_mid"), "_to", (F.col("hops") + reach).alias("hops"))
+                longer = far.join(onward, "_mid").groupBy("_at", "_to").agg(F.min("hops").alias("hops"))
+                jumps = jumps.union(settle(longer.join(jumps, ["_at", "_to"], "left_anti"), "jumps"))
+                reach *= 2
+            new = front.join(jumps, F.col("node") == F.col("_at")).groupBy("seed", F.col("_to").alias("node")).agg(F.min(F.col("distance") + F.col("hops")).alias("distance"))
         if parts:
             new = new.join(reduce(DataFrame.union, parts), ["seed", "node"], "left_anti")
-        front = settle(new.withColumn("distance", F.lit(hops).cast("long")), "walk")
-        parts.append(front)
+        parts.append(settle(new.select("seed", "node", F.col("distance").cast("long").alias("distance")), "walk"))
+        done += reach if jumps is not None else HOPS
+        front = parts[-1].where(F.col("distance") == done)
         if front.isEmpty():
             return reduce(DataFrame.union, parts)
-        front = front.select("seed", "node")
+
+
+def _steps(edges: DataFrame, down: bool) -> DataFrame:
+    here, there = ("target", "source") if down else ("source", "target")
+    return settle(clean(edges).select(F.col(here).alias("_at"), F.col(there).alias("_to")), "steps")
+
+
+def walk(edges: DataFrame, seeds: DataFrame, down: bool = False) -> DataFrame:
+    """(seed, node, distance): all that seeds (node) reach by one edge or more, upwards or down; a seed on a cycle reaches itself."""
+    front = seeds.select(F.col("node").alias("seed"), "node", F.lit(0).cast("long").alias("distance")).where("node is not null").distinct()
+    return _grown(_steps(edges, down), settle(front, "walk"))
 
 
 def reached(edges: DataFrame, seeds: DataFrame, down: bool = False) -> DataFrame:
     """(node): seeds (node) and all that they reach; a node is expanded once, whichever seed reaches it."""
-    here, there = ("target", "source") if down else ("source", "target")
-    step = settle(clean(edges).select(F.col(here).alias("node"), F.col(there).alias("_to")), "steps")
-    parts = [settle(seeds.select("node").where("node is not null").distinct(), "reached")]
-    while True:
-        new = parts[-1].join(step, "node").select(F.col("_to").alias("node")).distinct()
-        parts.append(settle(new.join(reduce(DataFrame.union, parts), "node", "left_anti"), "reached"))
-        if parts[-1].isEmpty():
-            return reduce(DataFrame.union, parts)
+    front = settle(seeds.select(F.lit("").alias("seed"), "node", F.lit(0).cast("long").alias("distance")).where("node is not null").distinct(), "reached")
+    return front.select("node").union(_grown(_steps(edges, down), front).select("node")).distinct()
 
 
 def nodes(edges: DataFrame) -> DataFrame:
