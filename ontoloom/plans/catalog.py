@@ -236,4 +236,4 @@ def duplicate_labels(spark, d):
     return p.groupBy(F.col("p_name").alias("label")).agg(F.count(F.lit(1)).alias("n"), F.min("p_partkey").alias("first_id")).where("n > 1")
 
 
-from ontoloom.plans import catalog_annotations, catalog_axioms, catalog_compare, catalog_edges, catalog_documents, catalog_graph, catalog_reasoning  # noqa: E402,F401  (they register their queries)
+from ontoloom.plans import catalog_annotations, catalog_axioms, catalog_compare, catalog_edges, catalog_documents, catalog_graph, catalog_reasoning, catalog_structures  # noqa: E402,F401  (they register their queries)
