@@ -46,11 +46,14 @@ NUMBER, UNIT, NAME = "\ue000", "\ue001", "\ue002"  # private-use characters, whi
 UNITS = "kg|g|mg|lb|lbs|oz|km|m|cm|mm|mi|ft|in|miles?|met(?:er|re)s?|inch(?:es)?|feet|foot|yards?|litres?|liters?|ml|l|hours?|hrs?|h|minutes?|mins?|seconds?|secs?|s|days?|weeks?|months?|years?|dollars?|cents?|euros?|pounds?|percent|degrees?|mph|kmh|kg|tons?"
 
 def marked(text: Column) -> Column:
-    """The text with a marker before each number, unit and name, its words parted by one space, punctuation dropped."""
+    """The text with a marker before each number, unit and name, its words parted by one space, punctuation dropped.
+
+    The patterns look at the character ahead before those behind, which most places fail at once.
+    """
     blank = NUMBER + UNIT + NAME + SPACES
     out = F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), blank, " " * len(blank)), "  +", " ")
-    out = F.regexp_replace(out, r"(?<=[\p{L}\p{N},;] )(\p{Lu}\p{Ll}+)", NAME + "$1")
-    out = F.regexp_replace(out, r"(?<![\p{L}\p{N}])(\d+(?:[.,:/]\d+)*)", NUMBER + "$1")
+    out = F.regexp_replace(out, r"(?=\p{Lu}\p{Ll})(?<=[\p{L}\p{N},;] )(\p{Lu}\p{Ll}+)", NAME + "$1")
+    out = F.regexp_replace(out, r"(?=\d)(?<![\p{L}\p{N}])(\d+(?:[.,:/]\d+)*)", NUMBER + "$1")
     out = F.regexp_replace(out, rf"({NUMBER}\d+(?:[.,:/]\d+)*) ?({UNITS})(?![\p{{L}}\p{{N}}])", "$1 " + UNIT + "$2")
     out = F.regexp_replace(out, rf"[^\p{{L}}\p{{M}}\p{{N}}{NUMBER}{UNIT}{NAME}.,:/]+|[.,:/]+(?!\d)|(?<!\d)[.,:/]+", " ")
     return F.lower(F.trim(out))
