@@ -76,11 +76,15 @@ def reduced_over_part_of(spark, d):
     return A.reduced_over(edges.union(more), ("part_of",))
 
 
-@query("related_properties", "SELECT unnest(['part_of', 'located_in', 'related', 'made_in', 'x', 'y', 'same']) AS property")
+@query("related_properties", "SELECT 'q:1' AS property UNION SELECT 'related' UNION SELECT 'p:' || n_nationkey FROM nation WHERE n_regionkey = 1 UNION SELECT 'm:' || s_suppkey FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE n_regionkey = 1 UNION SELECT unnest(['x:', 'y:', 'same:']) || n_nationkey FROM nation WHERE n_regionkey = 1")
 def related_properties(spark, d):
-    pairs = lambda rows: spark.createDataFrame(rows, "a string, b string")
-    chains = spark.createDataFrame([("x", "y", "located_in")], "p string, q string, result string")
-    return A.related_properties(_few(spark, ["located_in"], "property string"), pairs([("part_of", "located_in"), ("made_in", "part_of"), ("located_in", "related"), ("other", "related")]), chains, pairs([("same", "x")]))
+    """What bears on q:1: m:s of suppliers under p:n of nations under q:r of regions, chains that give p:n, and their equals."""
+    n, s, r = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("nation", "supplier", "region"))
+    of = lambda a, k: F.concat(F.lit(a), F.col(k))
+    pair = lambda df, a, b: df.select(a.alias("a"), b.alias("b"))
+    below = pair(s, of("m:", "s_suppkey"), of("p:", "s_nationkey")).union(pair(n, of("p:", "n_nationkey"), of("q:", "n_regionkey"))).union(pair(r, of("q:", "r_regionkey"), F.lit("related")))
+    chains = n.select(of("x:", "n_nationkey").alias("p"), of("y:", "n_nationkey").alias("q"), of("p:", "n_nationkey").alias("result"))
+    return A.related_properties(_few(spark, ["q:1"], "property string"), below, chains, pair(n, of("same:", "n_nationkey"), of("x:", "n_nationkey")))
 
 
 @query("changed_edges", f"SELECT source, target, property FROM ({D.LABELLED}) WHERE source <> 'N:1' AND target <> 'N:1' AND NOT (source = 'R:1' AND target = 'ROOT') UNION SELECT 'new', 'ROOT', 'is_a'")

@@ -73,13 +73,16 @@ def _read_back(spark, d):
     return annotation_files.read_gaf(spark, path)
 
 
-_ID = F.substring_index("reference", ":", -1).cast("long")
+def _id():
+    return F.substring_index("reference", ":", -1).cast("long")
+
+
 _ANN = f"ann AS (SELECT a.*, l_linenumber AS k, l_suppkey AS s, l_orderkey AS o FROM ({D.ANNOTATIONS}) AS a JOIN lineitem ON l_orderkey * 10 + l_linenumber = annotation_id)"
 
 
 @query("file_annotations", f"WITH {_ANN} SELECT annotation_id, CASE k WHEN 4 THEN 'X:' ELSE 'O:' END || o AS bioentity, cls, evidence, coalesce(partner, '') AS partners, CASE k % 4 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 3 ELSE 4 END AS flags, CASE k % 4 WHEN 2 THEN 'contributes_to' WHEN 3 THEN 'colocalizes_with' ELSE ['enables', 'involved_in', 'part_of'][k % 3 + 1] END AS relation, date, CASE WHEN s % 10 = 3 THEN 'tax:' ELSE 'taxon:' END || s AS taxon, CASE WHEN k = 5 AND s % 10 <> 3 THEN 'taxon:1' END AS interacting_taxon, CASE k WHEN 3 THEN 'part_of(N:1),occurs_in(N:2)|part_of(N:3)' WHEN 6 THEN 'part_of(nowhere)' ELSE '' END AS extension FROM ann")
 def file_annotations(spark, d):
-    found = annotation_files.annotations(_read_back(spark, d), _ID)
+    found = annotation_files.annotations(_read_back(spark, d), _id())
     return found.select("annotation_id", "bioentity", "cls", "evidence", F.array_join("with_from", "|").alias("partners"), "flags", "relation", "date", "taxon", "interacting_taxon", P.extension_text(F.col("ext")).alias("extension"))
 
 
@@ -112,12 +115,12 @@ _FAULTS = [
 def file_violations(spark, d):
     """All checks of an annotation file that was written and read again: its columns, rules on rows, patterns, classes, evidence, partners."""
     rows = _read_back(spark, d)
-    ann = settle(annotation_files.annotations(rows, _ID), "annotations")
+    ann = settle(annotation_files.annotations(rows, _id()), "annotations")
     closed = C.closure(D.part_edges(spark, d))
     rules = A.standard_rules(TODAY, "P:1", "P:2")
     top = spark.read.parquet(f"{d}/part.parquet").where("p_size = 7").select(F.concat(F.lit("P:"), "p_partkey").alias("node"))
     found = [
-        annotation_files.column_checks(rows, TODAY, spark.createDataFrame([("O",)], "node string"), line_id=_ID),
+        annotation_files.column_checks(rows, TODAY, spark.createDataFrame([("O",)], "node string"), line_id=_id()),
         A.row_rules(ann, rules),
         A.pattern_rules(ann, "qualifier", {"odd_qualifier": "odd$"}),
         A.in_subset(ann, top, "high_level"),

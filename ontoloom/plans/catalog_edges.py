@@ -10,7 +10,7 @@ from ontoloom.operators import labelled as L
 from ontoloom.operators import reasoning as R
 from ontoloom.plans import derived as D
 from ontoloom.plans import derived_axioms as X
-from ontoloom.plans.register import query, up_sql
+from ontoloom.plans.register import closure_sql, query, up_sql
 
 _RULES = "(VALUES ('SUBCLASS_OF', 'SUBCLASS_OF', 'SUBCLASS_OF'), ('SUBCLASS_OF', 'SOME part_of', 'SOME part_of'), ('SOME part_of', 'SUBCLASS_OF', 'SOME part_of'), ('SOME part_of', 'SOME part_of', 'SOME part_of'), ('SUBCLASS_OF', 'SOME member_of', 'SOME member_of'), ('SOME member_of', 'SUBCLASS_OF', 'SOME member_of'), ('SUBCLASS_OF', 'SOME located_in', 'SOME located_in'), ('SOME located_in', 'SUBCLASS_OF', 'SOME located_in'), ('SOME member_of', 'SOME part_of', 'SOME located_in'), ('SUBCLASS_OF', 'SOME made_in', 'SOME made_in'), ('SOME made_in', 'SUBCLASS_OF', 'SOME made_in'), ('SUBCLASS_OF', 'ONLY trades_in', 'ONLY trades_in'), ('ONLY trades_in', 'SUBCLASS_OF', 'ONLY trades_in')) r(a, b, result)"
 _NAMED = f"WITH RECURSIVE e AS ({X.NAMED})"
@@ -109,9 +109,11 @@ def _property_tree(spark):
     return spark.createDataFrame([("part_of", "located_in"), ("located_in", "related"), ("made_in", "located_in")], "source string, target string")
 
 
-@query("super_properties", f"SELECT a AS property, b AS above, CASE WHEN a = b THEN 0 WHEN b = 'related' AND a <> 'located_in' THEN 2 ELSE 1 END AS distance FROM {_UP} u(a, b)")
+@query("super_properties", closure_sql(D.HALF) + " SELECT 'p' || source AS property, 'p' || target AS above, CAST(distance AS INT) AS distance FROM closed UNION SELECT 'p' || source, 'p' || source, 0 FROM e UNION SELECT 'p' || target, 'p' || target, 0 FROM e")
 def super_properties(spark, d):
-    return C.reflexive(_property_tree(spark)).select(F.col("source").alias("property"), F.col("target").alias("above"), F.col("distance").cast("int").alias("distance"))
+    """A property for each part, under that of half its key."""
+    tree = D.half_edges(spark, d).select(F.concat(F.lit("p"), "source").alias("source"), F.concat(F.lit("p"), "target").alias("target"))
+    return C.reflexive(tree).select(F.col("source").alias("property"), F.col("target").alias("above"), F.col("distance").cast("int").alias("distance"))
 
 
 @query("generalised_edges", f"SELECT source, target, 'SOME ' || b AS label FROM ({X.NAMED}) JOIN {_UP} u(a, b) ON label = 'SOME ' || a WHERE source LIKE 'N:%' UNION SELECT 'P:' || p_partkey, 'R:' || n_regionkey, 'SOME ' || x.b || ';SOME ' || y.b FROM part JOIN nation ON n_nationkey = p_partkey % 25, {_UP} x(a, b), {_UP} y(a, b) WHERE x.a = 'made_in' AND y.a = 'part_of'")
@@ -120,9 +122,17 @@ def generalised_edges(spark, d):
     return _shown(E.generalised(closed, C.closure(_property_tree(spark))))
 
 
-@query("expanded_chains", "SELECT * FROM (VALUES ('a', 'x,y,z'), ('b', 'y,z'), ('twice', NULL), ('loop', 'loop,x'), ('two', 'y,z,y,z')) v(property, parts)")
+@query("expanded_chains", "SELECT 'in:' || n_nationkey AS property, 'x:' || n_nationkey || ',y:' || n_regionkey || ',top' AS parts FROM nation UNION SELECT 'reg:' || r_regionkey, 'y:' || r_regionkey || ',top' FROM region UNION SELECT 'twice:' || r_regionkey, NULL FROM region UNION SELECT 'loop:' || r_regionkey, 'loop:' || r_regionkey || ',x' FROM region")
 def expanded_chains(spark, d):
-    chains = spark.createDataFrame([("x", "b", "a"), ("y", "z", "b"), ("x", "y", "twice"), ("y", "x", "twice"), ("loop", "x", "loop"), ("b", "b", "two")], "p string, q string, result string")
+    """in:n is x:n and reg:r, reg:r is y:r and top; twice:r has two chains, loop:r holds itself."""
+    n, r = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("nation", "region"))
+    of = lambda a, k: F.concat(F.lit(a), F.col(k))
+    row = lambda df, p, q, result: df.select(p.alias("p"), q.alias("q"), result.alias("result"))
+    y, top, x = of("y:", "r_regionkey"), F.lit("top"), F.lit("x")
+    chains = row(n, of("x:", "n_nationkey"), of("reg:", "n_regionkey"), of("in:", "n_nationkey")).union(row(r, y, top, of("reg:", "r_regionkey")))
+    for p, q in ((x, y), (y, x)):
+        chains = chains.union(row(r, p, q, of("twice:", "r_regionkey")))
+    chains = chains.union(row(r, of("loop:", "r_regionkey"), x, of("loop:", "r_regionkey")))
     return E.expanded_chains(chains).select("property", F.array_join("parts", ",").alias("parts"))
 
 
@@ -252,11 +262,13 @@ def inferred_closure_diff(spark, d):
     return C.diff(C.closure(edges), C.closure(edges.where("source <> 'N:1'"))).where("side <> 'common'")
 
 
-@query("property_rules_over_super_properties", "SELECT 'SOME part_of' AS a, 'SOME part_of' AS b, 'SOME located_in' AS result")
+@query("property_rules_over_super_properties", "SELECT 'SOME p:' || x.n_nationkey AS a, 'SOME p:' || y.n_nationkey AS b, 'SOME q:' || x.n_regionkey AS result FROM nation AS x JOIN nation AS y ON x.n_regionkey = y.n_regionkey")
 def property_rules_over_super_properties(spark, d):
-    properties = spark.createDataFrame([("located_in", True)], "property string, transitive boolean")
-    table = E.rules(properties, sub_property=spark.createDataFrame([("part_of", "located_in")], "source string, target string"))
-    return table.where("a = 'SOME part_of' and b = 'SOME part_of'")
+    """q:r is transitive and holds p:n of each nation n in region r."""
+    n, r = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("nation", "region"))
+    properties = r.select(F.concat(F.lit("q:"), "r_regionkey").alias("property"), F.lit(True).alias("transitive"))
+    below = n.select(F.concat(F.lit("p:"), "n_nationkey").alias("source"), F.concat(F.lit("q:"), "n_regionkey").alias("target"))
+    return E.rules(properties, sub_property=below).where("a like 'SOME p:%' and b like 'SOME p:%'")
 
 
 @query("closure_through_listed_relations", f"WITH RECURSIVE e AS ({D.LABELLED}), c(source, target) AS (SELECT source, target FROM e WHERE property IN ('is_a', 'part_of') UNION SELECT c.source, e.target FROM c JOIN e ON c.target = e.source WHERE e.property IN ('is_a', 'part_of')) SELECT source AS id, string_agg(target, ',' ORDER BY target) AS closure FROM c GROUP BY 1")

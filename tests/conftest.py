@@ -16,6 +16,7 @@ def spark():
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "4g")
+        .config("spark.sql.codegen.wholeStage", "false")  # tables of a few rows: compiling would take most of the time
         .getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")

@@ -6,7 +6,7 @@ from collections import Counter
 import duckdb
 import pytest
 
-from ontoloom.plans import catalog, catalog_edges
+from ontoloom.plans import catalog, catalog_documents, catalog_edges, catalog_reasoning, catalog_structures
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events".split()
@@ -30,9 +30,10 @@ def con():
 def shared():
     """Tables that many queries derive anew are derived once here; the queries' own ways stay."""
     patch, made = pytest.MonkeyPatch(), {}
-    for name in ("_edges", "_closed", "_saturated"):
-        f = getattr(catalog_edges, name)
-        patch.setattr(catalog_edges, name, lambda spark, d, f=f: made.setdefault(f, None) or made.__setitem__(f, f(spark, d)) or made[f])
+    names = {catalog_edges: ("_edges", "_closed", "_saturated"), catalog_reasoning: ("_state",), catalog_documents: ("_documents", "_read_back"), catalog_structures: ("_forest",)}
+    for module, name in [(m, n) for m, ns in names.items() for n in ns]:
+        f = getattr(module, name)
+        patch.setattr(module, name, lambda spark, d, f=f: made.setdefault(f, None) or made.__setitem__(f, f(spark, d)) or made[f])
     yield
     patch.undo()
 

@@ -50,3 +50,9 @@ def test_without_any_setting(tmp_path):
     assert run.returncode == 0, run.stderr[-3000:]
     root = next(line.split()[1] for line in run.stdout.splitlines() if line.startswith("ROOT"))
     assert not os.path.exists(_local(root))
+
+
+def test_entry_imports_without_a_session():
+    code = "import __spark_entry__ as e; assert e.queries().keys() >= e.oracle_sql().keys()"
+    run = subprocess.run([sys.executable, "-c", code], env=os.environ | {"PYTHONPATH": REPO}, cwd=REPO, capture_output=True, text=True, timeout=120)
+    assert run.returncode == 0, run.stderr[-3000:]
