@@ -37,8 +37,7 @@ def contradictions(annotations: DataFrame, state: S.State, explain: bool = False
     """
     said = settle(_said(annotations), "said")
     new = taxon_axioms(said, property_)
-    facts = S.added(state, {k: v.withColumn("ctx", F.lit("")) for k, v in new.items()})
-    bad = settle(facts.where((F.col("p") == "") & (F.col("y") == NOTHING)).select(F.col("x").alias("node")).join(said, "node"), "contradictions")
+    bad = settle(S.emptied(state, new).withColumnRenamed("x", "node").join(said, "node"), "contradictions")
     if explain:
         both = S.extend(state, taxon_axioms(bad, property_))
         bad = settle(bad.join(S.justified(both, bad.select("node")), "node"), "explained")
