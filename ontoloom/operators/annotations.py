@@ -224,13 +224,19 @@ def unfold(ann: DataFrame, definitions: DataFrame) -> DataFrame:
     return out.select(*[F.coalesce("_genus", "cls").alias("cls") if c == "cls" else F.col(c) for c in ann.columns], F.when(F.col("_genus").isNotNull(), F.col("extension")).alias("extension"))
 
 
-def folded(ann: DataFrame, definitions: DataFrame) -> DataFrame:
-    """(annotation_id, cls): known classes whose definition is exactly an annotation's class with one group of its extension."""
+def folded(ann: DataFrame, definitions: DataFrame, first: Column | None = None) -> DataFrame:
+    """(annotation_id, cls): known classes whose definition is exactly an annotation's class with one group of its extension.
+
+    With first, an expression of cls, one class stands for all with the same
+    definition: the one whose value is smallest.
+    """
     part = lambda p, f: F.concat_ws("|", p, f)
-    key = definitions.groupBy(F.col("cls").alias("_cls")).agg(F.array_join(F.array_sort(F.collect_set(part(F.coalesce("property", F.lit("")), F.col("filler")))), ";").alias("_key"))
+    key = definitions.groupBy("cls").agg(F.array_join(F.array_sort(F.collect_set(part(F.coalesce("property", F.lit("")), F.col("filler")))), ";").alias("_key"))
+    if first is not None:
+        key = key.groupBy("_key").agg(F.min_by("cls", F.struct(first, "cls")).alias("cls"))
     groups = ann.where("size(ext) > 0").select("annotation_id", "cls", F.explode("ext").alias("_g"))
     own = F.array_join(F.array_sort(F.array_distinct(F.concat(F.array(F.concat(F.lit("|"), "cls")), F.transform("_g", lambda s: part(s["relation"], s["cls"]))))), ";")
-    return groups.select("annotation_id", own.alias("_key")).join(key, "_key").select("annotation_id", F.col("_cls").alias("cls")).distinct()
+    return groups.select("annotation_id", own.alias("_key")).join(key, "_key").select("annotation_id", "cls").distinct()
 
 
 def to_eco(ann: DataFrame, table: DataFrame) -> DataFrame:
