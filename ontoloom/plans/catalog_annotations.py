@@ -10,6 +10,7 @@ from ontoloom.operators import closure as C
 from ontoloom.operators import rewrite as R
 from ontoloom.operators import similarity as S
 from ontoloom.plans import derived as D
+from ontoloom.plans.catalog import _content
 from ontoloom.plans.register import SQL, query, up_sql
 
 _ANN = f"ann AS ({D.ANNOTATIONS})"
@@ -196,8 +197,8 @@ def profile_search_ranked(spark, d):
 
 @query("metric_statistics", _FULL + f", pairs AS ({D.PAIRS}), own AS (SELECT element, count(*) AS n FROM full_ GROUP BY 1), k AS (SELECT a, b, count(*) AS n FROM pairs JOIN full_ x ON x.element = a JOIN full_ y ON y.element = b AND y.attribute = x.attribute GROUP BY 1, 2), s AS (SELECT k.n / (oa.n + ob.n - k.n) AS simj, k.n / ob.n AS asym FROM k JOIN own oa ON oa.element = a JOIN own ob ON ob.element = b), m AS (SELECT 'simj' AS metric, simj AS v FROM s UNION ALL SELECT 'asym', asym FROM s) SELECT metric, count(*) AS n, round(avg(v), 6) AS mean, round(min(v), 6) AS low, round(max(v), 6) AS high FROM m GROUP BY 1")
 def metric_statistics(spark, d):
-    full = S.inferred(D.marks(spark, d), _up(spark, d))
-    return _round(S.metric_statistics(S.pair_scores(D.pairs(spark, d), full, S.information_content(full)), "simj", "asym"), "mean", "low", "high")
+    ic, sets = _content(spark, d)
+    return _round(S.metric_statistics(S.pair_scores(D.pairs(spark, d), None, ic, sets), "simj", "asym"), "mean", "low", "high")
 
 
 @query("name_checks", "WITH s AS (SELECT p_partkey AS id, p_brand AS label FROM part UNION ALL SELECT p_partkey, p_brand FROM part WHERE p_size = 3), n AS (SELECT p_partkey AS id, CASE WHEN p_size = 5 THEN NULL WHEN p_size = 6 THEN p_brand ELSE p_name END AS label FROM part) SELECT id, 'missing_label' AS problem FROM n WHERE label IS NULL UNION ALL SELECT id, 'duplicate_label' FROM n WHERE label IN (SELECT label FROM n WHERE label IS NOT NULL GROUP BY 1 HAVING count(*) > 1) UNION ALL SELECT DISTINCT id, 'duplicate_synonym' FROM s GROUP BY id, label HAVING count(*) > 1 UNION ALL SELECT DISTINCT n.id, 'label_is_synonym' FROM n JOIN s ON s.label = n.label AND s.id <> n.id")
