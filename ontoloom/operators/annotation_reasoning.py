@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ontoloom.operators import emptiness as E
 from ontoloom.operators import saturation as S
 from ontoloom.operators.reasoning import NOTHING
 from ontoloom.plans.session import settle
@@ -28,13 +29,19 @@ def taxon_axioms(said: DataFrame, property_: str = IN_TAXON) -> S.Tables:
     return {"sub": said.select(F.col("node").alias("a"), F.col("cls").alias("b")), "right": said.select(F.col("node").alias("a"), F.lit(property_).alias("property"), F.col("taxon").alias("b"))}
 
 
-def contradictions(annotations: DataFrame, state: S.State, explain: bool = False, property_: str = IN_TAXON) -> DataFrame:
+def contradictions(annotations: DataFrame, state: S.State | E.Marked, explain: bool = False, property_: str = IN_TAXON) -> DataFrame:
     """Rows of annotations (with cls and taxon) that contradict the ontology: those whose class is empty, or empty in their taxon.
 
     With explain, `axioms` is a minimal set of axioms that the row contradicts
-    together; axioms about the row itself begin with its node's name.  Rows
-    without class or taxon are never listed.
+    together; axioms about the row itself begin with its node's name; this takes
+    a whole state, while marked() axioms do without it.  Rows without class or
+    taxon are never listed.
     """
+    if isinstance(state, E.Marked):
+        if explain:
+            raise ValueError("explanations need classify()")
+        said = settle(annotations.select("cls", "taxon").na.drop().distinct(), "said")
+        return annotations.join(settle(E.contradicted(state, said, property_), "contradictions"), ["cls", "taxon"], "left_semi")
     said = settle(_said(annotations), "said")
     new = taxon_axioms(said, property_)
     bad = settle(S.emptied(state, new).withColumnRenamed("x", "node").join(said, "node"), "contradictions")
