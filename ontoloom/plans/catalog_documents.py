@@ -69,7 +69,7 @@ def _file_rows(spark, d):
 
 def _read_back(spark, d):
     path = shared_path(spark, "gaf")
-    annotation_files.write_gaf(_file_rows(spark, d), path, ("derived",))
+    annotation_files.write_gaf(_file_rows(spark, d), path, ("derived",), "gzip")
     return annotation_files.read_gaf(spark, path)
 
 
@@ -94,9 +94,9 @@ def file_associations(spark, d):
     """Annotations written as association and entity files, read again and joined; the X entities come from a file of the older form."""
     gpad, gpi = annotation_files.to_associations(_read_back(spark, d), spark.createDataFrame(_ECO, "evidence string, eco string"))
     paths = [shared_path(spark, x) for x in ("gpad", "gpi", "gpi-old")]
-    annotation_files.write_gpad(gpad, paths[0])
-    annotation_files.write_gpi(gpi.where("db <> 'X'"), paths[1])
-    annotation_files.write_gpi(gpi, paths[2], "X")
+    annotation_files.write_gpad(gpad, paths[0], "gzip")
+    annotation_files.write_gpi(gpi.where("db <> 'X'"), paths[1], compression="gzip")
+    annotation_files.write_gpi(gpi, paths[2], "X", "gzip")
     entities = annotation_files.read_gpi(spark, paths[1]).union(annotation_files.read_gpi(spark, paths[2]))
     return joined(annotation_files.read_gpad(spark, paths[0]), entities).select("db", "object_id", "cls", "reference", "eco", "qualifier", "symbol", "type")
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ontoloom.functions import parsing as P
 from ontoloom.operators import annotations as A
-from ontoloom.plans.session import ship_package
+from ontoloom.plans.session import settle, ship_package
 from ontoloom.sources.annotations import GAF, GPAD, GPI
 
 #: How many values a column may have, at least and at most (3 stands for any number), by place from 0.
@@ -37,6 +37,7 @@ def _lines(spark: SparkSession, path: str, kind: str) -> DataFrame:
     number = lambda tag: F.regexp_extract("_t", rf"^!{tag}:\s*([0-9]+(?:\.[0-9]+)?)", 1)
     space = F.regexp_extract("_t", r"^!namespace:\s*(\S+)", 1)
     said = text.where(F.col("_t").startswith("!")).groupBy("file").agg(F.max(F.when(number(kind) != "", number(kind).cast("double"))).alias("version"), F.max(F.nullif(space, F.lit(""))).alias("namespace"))
+    said = settle(said, "headers")  # a row a file: known to be small before lines are joined with it, so these needn't be moved
     rows = text.where((F.col("_t") != "") & ~F.col("_t").startswith("!")).drop("_t")
     return rows.join(said, "file", "left")
 
@@ -78,6 +79,11 @@ def annotations(rows: DataFrame, line_id: str | Column = "line") -> DataFrame:
     )
 
 
+def _next(text: Column, what: str, after: Column) -> Column:
+    """Where `what` stands in the text after a place; 0 if nowhere."""
+    return F.call_function("locate", F.lit(what), text, after + 1)
+
+
 def column_checks(rows: DataFrame, today: str, databases: DataFrame | None = None, electronic: tuple[str, ...] = ("IEA",), line_id: str | Column = "line") -> DataFrame:
     """(annotation_id, rule): what is wrong with the columns of read_gaf() rows, one row a fault.
 
@@ -94,16 +100,15 @@ def column_checks(rows: DataFrame, today: str, databases: DataFrame | None = Non
         if most == 1:
             rules[f"{name}_repeated"] = v.contains("|")
         if most == 2:
-            rules[f"{name}_over_two"] = F.size(F.split(v, r"\|")) > 2
+            rules[f"{name}_over_two"] = _next(v, "|", _next(v, "|", F.lit(0))) > 0
         if name not in FREE_TEXT:
-            rules[f"{name}_blank_inside"] = F.exists(F.slice(F.split(v, r"\|"), 2, 1 << 20), lambda x: x.contains(" "))
+            rules[f"{name}_blank_inside"] = v.contains("|") & (_next(v, " ", _next(v, "|", F.lit(0))) > 0)
     day = F.try_to_timestamp("date", F.lit("yyyyMMdd")).cast("date")
     rules["date_format"] = day.isNull()
     rules["electronic_older_than_a_year"] = c("evidence").isin(*electronic) & (day < F.add_months(F.lit(today).cast("date"), -12))
-    taxa = F.slice(F.split(F.coalesce("taxon", F.lit("")), r"\|"), 1, 2)
-    rules["taxon_format"] = F.exists(taxa, lambda t: ~t.rlike(r"^taxon:-?[0-9]{1,9}$"))
+    rules["taxon_format"] = ~F.coalesce("taxon", F.lit("")).rlike(r"(?s)^taxon:-?[0-9]{1,9}(?:\|taxon:-?[0-9]{1,9}(?:\|.*)?)?$")
     spaces = F.flatten(P.extensions(c("extension")))
-    rules["extension_without_id_space"] = F.exists(spaces, lambda x: F.instr(x["cls"], ":") <= 1)
+    rules["extension_without_id_space"] = F.when(F.coalesce("extension", F.lit("")) != "", F.exists(spaces, lambda x: F.instr(x["cls"], ":") <= 1))
     key = (F.col(line_id) if isinstance(line_id, str) else line_id).alias("annotation_id")
     few = rows.where("status <> 'short'").select(key, *GAF)
     found = A.row_rules(few, rules)
@@ -134,27 +139,27 @@ def _framed(head: str):
     return framed
 
 
-def _write(rows: DataFrame, names: tuple[str, ...], path: str, head: str) -> None:
+def _write(rows: DataFrame, names: tuple[str, ...], path: str, head: str, compression: str = "none") -> None:
     """Tab-separated lines; tabs and line ends inside a value become blanks."""
     ship_package(rows.sparkSession)
     cell = lambda x: F.regexp_replace(F.coalesce(F.col(x).cast("string"), F.lit("")), r"[\t\r\n]+", " ")
-    rows.select(F.concat_ws("\t", *[cell(x) for x in names]).alias("value")).mapInArrow(_framed(head), "value string").write.text(path)
+    rows.select(F.concat_ws("\t", *[cell(x) for x in names]).alias("value")).mapInArrow(_framed(head), "value string").write.text(path, compression=compression)
 
 
-def write_gaf(rows: DataFrame, path: str, comments: tuple[str, ...] = ()) -> None:
-    _write(rows, GAF, path, "\n".join(["!gaf-version: 2.0", *[f"!{c}" for c in comments]]))
+def write_gaf(rows: DataFrame, path: str, comments: tuple[str, ...] = (), compression: str = "none") -> None:
+    _write(rows, GAF, path, "\n".join(["!gaf-version: 2.0", *[f"!{c}" for c in comments]]), compression)
 
 
-def write_gpad(rows: DataFrame, path: str) -> None:
-    _write(rows, GPAD, path, "!gpa-version: 1.1")
+def write_gpad(rows: DataFrame, path: str, compression: str = "none") -> None:
+    _write(rows, GPAD, path, "!gpa-version: 1.1", compression)
 
 
-def write_gpi(rows: DataFrame, path: str, namespace: str | None = None) -> None:
+def write_gpi(rows: DataFrame, path: str, namespace: str | None = None, compression: str = "none") -> None:
     """Entities of all databases, or with namespace the older form for the entities of one."""
     if namespace is None:
-        _write(rows, GPI, path, "!gpi-version: 1.2")
+        _write(rows, GPI, path, "!gpi-version: 1.2", compression)
     else:
-        _write(rows.where(F.col("db") == namespace), GPI[1:], path, f"!gpi-version: 1.1\n!namespace: {namespace}")
+        _write(rows.where(F.col("db") == namespace), GPI[1:], path, f"!gpi-version: 1.1\n!namespace: {namespace}", compression)
 
 
 def to_associations(rows: DataFrame, eco: DataFrame) -> tuple[DataFrame, DataFrame]:
