@@ -13,13 +13,17 @@ RELATIONS = {"F": "enables", "P": "involved_in", "C": "part_of"}
 
 def parts(c: Column, separators: str = r"[|]") -> Column:
     """Non-empty trimmed pieces."""
-    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), separators), lambda x: F.trim(x)), lambda x: x != "")
+    pieces = F.filter(F.transform(F.split(c, separators), lambda x: F.trim(x)), lambda x: x != "")
+    return F.when(F.coalesce(c, F.lit("")) != "", pieces).otherwise(F.array().cast("array<string>"))
 
 
 def qualifier_flags(c: Column) -> Column:
     """Bit mask of the known qualifiers, whatever their case; separators are | and , and an underscore may be a blank or a hyphen."""
-    given = F.transform(parts(c, r"[|,]"), lambda x: F.regexp_replace(F.lower(x), r"[ -]+", "_"))
-    return sum((F.when(F.array_contains(given, q.lower()), 1 << i).otherwise(0) for i, q in enumerate(QUALIFIERS[1:], 1)), F.when(F.array_contains(given, "not"), 1).otherwise(0)).cast("int")
+    text = F.lower(c)
+    # One search of the whole text a qualifier: a row has no pieces of its own.
+    said = lambda q: text.rlike(r"(?:^|[|,]) *" + q.lower().replace("_", "(?:_|[ -]+)") + r" *(?:\z|[|,])")
+    flags = sum((F.when(said(q), 1 << i).otherwise(0) for i, q in enumerate(QUALIFIERS[1:], 1)), F.when(said(QUALIFIERS[0]), 1).otherwise(0))
+    return F.when(F.coalesce(c, F.lit("")) == "", 0).otherwise(flags).cast("int")
 
 
 def unknown_qualifiers(c: Column) -> Column:
@@ -38,7 +42,8 @@ def extensions(c: Column) -> Column:
     """array<array<struct<relation,cls>>>: | parts alternatives, a comma joint conditions, each rel(cls); others are dropped."""
     one = lambda x: F.struct(F.regexp_extract(x, r"^([^()]+)\((.*)\)$", 1).alias("relation"), F.regexp_extract(x, r"^([^()]+)\((.*)\)$", 2).alias("cls"))
     group = lambda g: F.filter(F.transform(parts(g, ","), one), lambda s: s["relation"] != "")
-    return F.filter(F.transform(parts(c), group), lambda g: F.size(g) > 0)
+    groups = F.filter(F.transform(parts(c), group), lambda g: F.size(g) > 0)
+    return F.when(F.coalesce(c, F.lit("")) != "", groups).otherwise(F.array().cast("array<array<struct<relation:string,cls:string>>>"))
 
 
 def extension_text(c: Column) -> Column:
