@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ontoloom.operators import closure as C
+from ontoloom.plans.session import settle
 
 NOT, CONTRIBUTES, COLOCALIZES = 1, 2, 4
 
@@ -112,7 +113,9 @@ def propagate(ann: DataFrame, links: DataFrame, up: DataFrame) -> DataFrame:
     """
     usable = ann.where((F.coalesce("flags", F.lit(0)) == 0) & (F.col("evidence") != "ND")).select("bioentity", F.col("cls").alias("source"), "evidence")
     new = usable.join(links.select("source", "target"), "source").select("bioentity", F.col("target").alias("cls"), "evidence").distinct()
-    lift = up.select(F.col("source").alias("cls"), F.col("target").alias("_up"))
+    # Only what a link ends in can be predicted, so only such classes are looked for above.
+    ends = settle(links.select(F.col("target").alias("_up")).distinct(), "ends")
+    lift = settle(up.select(F.col("source").alias("cls"), F.col("target").alias("_up")).join(ends, "_up", "left_semi").select("cls", "_up"), "lift")
     have = ann.select("bioentity", "cls").distinct().join(lift, "cls").select("bioentity", F.col("_up").alias("cls")).distinct()
     new = new.join(have, ["bioentity", "cls"], "left_anti")
     above = new.join(lift.where("cls <> _up"), "cls").select("bioentity", F.col("_up").alias("cls"), "evidence").distinct()

@@ -12,6 +12,7 @@ from ontoloom.operators import similarity as S
 from ontoloom.plans import derived as D
 from ontoloom.plans.catalog import _content
 from ontoloom.plans.register import SQL, query, up_sql
+from ontoloom.plans.session import settle
 
 _ANN = f"ann AS ({D.ANNOTATIONS})"
 _UP = up_sql(D.PART) + ", " + _ANN
@@ -132,7 +133,7 @@ def propagate_annotations(spark, d):
     after = part.join(part.select((F.col("p_partkey") - 1).alias("p_partkey")), "p_partkey", "left_semi")
     links = after.select(id_(F.col("p_partkey")).alias("source"), id_(F.col("p_partkey") + 1).alias("target")).union(part.select(id_(F.col("p_partkey")), F.concat(F.lit("B:"), "p_brand")))
     ann = D.annotations(spark, d).withColumn("flags", P.qualifier_flags(F.col("qualifier")))
-    return A.propagate(ann, links, _up(spark, d))
+    return settle(A.propagate(ann, links, _up(spark, d)), "propagated", spread=True)
 
 
 @query("compositional_prediction", _UP + ", have AS (SELECT DISTINCT bioentity AS key, target AS part FROM ann JOIN up ON cls = source), d AS (SELECT DISTINCT p_type || '/' || CAST(floor(p_size / 10) AS INT) AS cls, unnest(['T:' || p_type, 'S:' || CAST(floor(p_size / 10) AS INT)]) AS part FROM part) SELECT key, cls FROM have JOIN d USING (part) GROUP BY 1, 2 HAVING count(*) = 2")
