@@ -1,8 +1,12 @@
 """Work that grew faster than the tables: lines moved for their header, classes met by common parts, tasks that grow with inputs."""
 
+from pyspark.sql import functions as F
+
 from ontoloom.functions import parsing as P
+from ontoloom.operators import class_queries as Q
 from ontoloom.operators import comparisons as K
 from ontoloom.operators import rewrite as R
+from ontoloom.operators import saturation as S
 from ontoloom.plans import session as O
 from ontoloom.sources import annotation_files as AF
 
@@ -48,3 +52,20 @@ def test_spread_tables_have_partitions_by_input(spark, monkeypatch):
     monkeypatch.setattr(O, "_settings", lambda s, wanted: seen.append(wanted) or real(s, wanted))
     assert O.settle(small.groupBy("id").count(), "spread", spread=True).count() == 100
     assert int(next(w[name] for w in seen if name in w)) > int(spark.conf.get("spark.sql.shuffle.partitions")) and spark.conf.get(name, None) == before
+
+
+def test_told_axioms_answer_without_rules(spark, monkeypatch):
+    """Questions of classes that no rule ends in need no classification; other questions have the rules' answers."""
+    frame = lambda names, *rows: spark.createDataFrame(rows, ", ".join(f"{n} string" for n in names.split()))
+    sub = [("P:1", "P:0"), ("P:2", "P:1"), ("P:1", "P:2"), ("P:3", "P:2"), ("P:3", "P:0"), ("P:4", "P:0")]
+    tables = {"sub": frame("a b", *sub), "right": frame("a property b", ("P:2", "of", "P:4"), ("P:4", "in", "R")), "left": frame("property a b", ("in", "R", "_I"))}
+    some = [("strict", "?x", "P:0"), ("some", "?x", "of", "?y")]
+    rows = lambda *q, **k: {tuple(r[c] for c in sorted(r.asDict())) for r in Q.ask(*q, **k).collect()}
+    ruled = Q.told(tables, F.col("a") == "_I")
+    assert isinstance(ruled, S.State) and {r["x"] for r in ruled.implied.where("a = '_I'").collect()} == {"_I", "P:4"}
+    monkeypatch.setattr(S, "_rounds", None)
+    held = Q.told(tables, F.col("a").like("P:%"))
+    assert rows(some, held, wanted=["x"]) == {("P:1",), ("P:2",), ("P:3",)}
+    assert rows([*some, ("strict", "?y", "P:0")], held) == {("P:1", "P:4"), ("P:2", "P:4"), ("P:3", "P:4")}
+    direct = {("P:1", "P:0"), ("P:2", "P:0"), ("P:3", "P:1"), ("P:3", "P:2"), ("P:4", "P:0")}
+    assert rows([("direct", "?x", "?y")], held) == direct
